@@ -13,13 +13,15 @@ SIDE_EFFECT_PREFIXES = ("db:", "http:", "fs:", "net:", "SIDE_EFFECT", "EVENT_LIS
 
 
 def _step(key: str) -> str:
-    return "['" + key.replace("'", "\\'") + "']"
+    return f'["{key}"]' if "'" in key else f"['{key}']"
 
 
 def _primitive(metadata: Column, path: str) -> Column:
     """The text of a JSON value that is neither object nor array."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(metadata), path, "variant"))
-    return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.get_json_object(metadata, path))
+    variant = F.try_parse_json(metadata)
+    kind = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    text = F.try_variant_get(variant, path, "string") if '"' in path else F.get_json_object(metadata, path)  # the latter knows single quotes only
+    return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), text)
 
 
 def json_attribute(metadata: Column, key: str) -> Column:

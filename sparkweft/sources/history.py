@@ -55,7 +55,7 @@ def parse_notes(notes: DataFrame) -> DataFrame:
 
     refs = F.regexp_extract(head, r"(?m)^relates_to:[ \t]*\[(.*)\]", 1)
     relates = F.transform(F.filter(F.split(refs, ","), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), "[\"']", ""))
-    return notes.select("path", key("id").alias("id"), F.upper(key("type")).alias("kind"), key("status").alias("status"), relates.alias("relates_to"), F.trim(F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?", "")).alias("text"))
+    return notes.select("path", key("id").alias("id"), F.upper(key("type")).alias("kind"), key("status").alias("status"), relates.alias("relates_to"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?|\s+\z", "").alias("text"))
 
 
 def discover(spark: SparkSession, root: str, include: list[str], exclude: list[str] = ()) -> DataFrame:
