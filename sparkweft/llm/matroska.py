@@ -91,7 +91,8 @@ class MatroskaError(ValueError):
 
 @dataclass
 class Media:
-    """packets: (track, timestamp in scale units, start, length, keyframe, lacing) in file order."""
+    """packets: (track, timestamp in scale units, start, length, keyframe, lacing) in file order; clusters: (timestamp,
+    position in the segment), as cues (time, track, position) name them."""
 
     doc_type: str = ""
     scale: int = 1_000_000
@@ -164,7 +165,9 @@ def parse(data: bytes) -> Media:
         if number == EBML:
             media.doc_type = next((data[x:y].rstrip(b"\0").decode("ascii", "replace") for n, x, y in elements(data, a, b) if n == DOC_TYPE), "")
         elif number == SEGMENT:
+            at = a
             for inner, x, y in elements(data, a, b, SEGMENT):
+                start, at = at, y
                 if inner == INFO:
                     for n, p, q in elements(data, x, y):
                         if n == TIMESTAMP_SCALE:
@@ -176,7 +179,7 @@ def parse(data: bytes) -> Media:
                         if n == TRACK_ENTRY:
                             _track(media, data, p, q)
                 elif inner == CLUSTER:
-                    _cluster(media, data, x, y, x - a)
+                    _cluster(media, data, x, y, start - a)
                 elif inner == CUES:
                     _cues(media, data, x, y)
     if media.doc_type not in ("matroska", "webm"):
