@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweft.llm import bpe, mixing, quality, simhash
 from sparkweft.llm.common import settled, table
@@ -39,7 +40,7 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return named.select(*columns)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fingerprint(texts):  # noqa: ANN001, ANN202
     import numpy as np
     import pandas as pd
