@@ -279,20 +279,26 @@ class Datalog:
             self.tables[p] = reduce(DataFrame.union, (self._head(r, {}) for r in own)).distinct()
             return
         empty = {q: self._empty(len(next(r.head.terms for r in own if r.head.predicate == q))) for q in group}
-        known, fresh = dict(empty), {}
+        parts: dict[str, list[DataFrame]] = {q: [] for q in group}
+        fresh: dict[str, DataFrame] = {}
         base = [r for r in own if not any(x.predicate in group for x in r.body)]
         for q in group:
             rows = [self._head(r, {}) for r in base if r.head.predicate == q]
             fresh[q] = settled(reduce(DataFrame.union, rows).distinct(), "fix") if rows else empty[q]
         for _ in range(1000):
-            known = {q: settled(known[q].union(fresh[q]), "fix") for q in group}
-            if all(fresh[q].isEmpty() for q in group):
+            live = {q for q in group if not fresh[q].isEmpty()}
+            for q in live:
+                parts[q].append(fresh[q])
+                if len(parts[q]) > 8:  # few files to read again in each round
+                    parts[q] = [settled(reduce(DataFrame.union, parts[q]), "fix")]
+            known = {q: reduce(DataFrame.union, parts[q]) if parts[q] else empty[q] for q in group}
+            if not live:
                 self.tables |= known
                 return
             grown: dict[str, list[DataFrame]] = {q: [] for q in group}
             for r in own:
                 for i, x in enumerate(r.body):
-                    if x.predicate in group:  # this occurrence reads what is new, the others all that is known
+                    if x.predicate in live:  # this occurrence reads what is new, the others all that is known
                         tables = {j: known[y.predicate] for j, y in enumerate(r.body) if y.predicate in group} | {i: fresh[x.predicate]}
                         grown[r.head.predicate].append(self._head(r, tables))
             fresh = {q: settled(reduce(DataFrame.union, grown[q]).distinct().join(known[q], known[q].columns, "left_anti"), "fix") if grown[q] else empty[q] for q in group}
