@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,8 +27,10 @@ from .common import arrow_limits, scratch, settled
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Ids in a row group, about; characters of distinct pieces that a worker remembers, at most.
-GROUP_IDS, MEMO_CHARS = 1 << 20, 8 << 20
-#: Ids that a text's pieces are gathered up to before they are joined.
+GROUP_IDS, MEMO_CHARS = 1 << 20, 14 << 20
+#: Words that are encoded at a time.
+_LINES = 2048
+_SPACE, _UNSAFE, _SAFE = re.compile(r"\s"), re.compile(r"\s "), re.compile(r"(?<=\S) ")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start_in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.uint32(), False)))])
 #: Ids and starts are close to their neighbours or small: delta coding; never a dictionary page per row group.
 ENCODINGS = {"doc_id": "DELTA_BINARY_PACKED", "start_in_file": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED", "ids.list.element": "DELTA_BINARY_PACKED"}
@@ -37,7 +40,8 @@ class PieceEncoder:
     """Encodes whole texts with the tokenizers library, piece by piece.
 
     The pre-tokenizer never lets a match run from a non-space into a space, so a text cut between them has the ids of
-    its pieces in order. Words come again and again: the ids of a bounded number of pieces are remembered.
+    its pieces in order. Words come again and again: the ids of a bounded number of pieces are remembered. New words
+    are encoded many at a time, one a line: a line end between words is a token of its own, where the ids are cut.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,45 +50,60 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        line_end = self._ids("\n")
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.memo: dict[str, bytes] = {}
         self.chars = 0
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32; none for null and empty texts."""
-        cut = [self._pieces(t or "") for t in texts]
-        memo = self.memo
-        new = list({p for pieces in cut for p in pieces if p not in memo})
+        cut = [self._words(t or "") for t in texts]
+        seen = set().union(*(words for _, words in cut))
+        new = [w for w in seen if w not in self.memo]
         chars = sum(map(len, new))
-        if self.chars + chars > MEMO_CHARS and memo:
-            memo.clear()
-            new, self.chars = list({p for pieces in cut for p in pieces}), 0
+        if self.chars + chars > MEMO_CHARS and self.memo:
+            self.memo.clear()
+            new, self.chars = list(seen), 0
             chars = sum(map(len, new))
         self.chars += chars
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([memo[p] for p in pieces]) for pieces in cut]
+        self._learn(new)
+        get = self.memo.__getitem__
+        return [self._raw(first) + b"".join(map(get, words)) for first, words in cut]
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Pieces that join to text; each after the first starts with a space that follows a non-space.
+    def _words(text: str) -> tuple[str, list[str]]:
+        """What comes before the first cut, and the words after it: each stands for a space and itself.
 
-        Splitting at single spaces is safe where both neighbours are non-spaces; where one is not, pieces are joined.
+        A cut is safe at a space that follows a non-space; words that would begin at another space are joined.
         """
-        if not text:
-            return []
-        words = text.split(" ")
-        out = [words[0]]
-        add = out.append
-        last = words[0]
-        for w in words[1:]:
-            if last and not last[-1].isspace():
-                add(" " + w)
-            else:
-                out[-1] += " " + w
-            last = w
-        return out
+        if not _UNSAFE.search(text) and not text.startswith(" "):
+            first, *words = text.split(" ")
+            return first, words
+        first, *words = _SAFE.split(text)
+        return first, words
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes() if text else b""
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w and not _SPACE.search(w)] if self.line_end is not None else []
+        for k in range(0, len(plain), _LINES):
+            some = plain[k : k + _LINES]
+            (found,) = self.tokenizer.encode_batch_fast([" " + "\n ".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise RuntimeError("a word holds a line end")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                self.memo[w] = raw[4 * start : 4 * end]
+                start = end + 1
+        for w in words:
+            if w not in self.memo:
+                self.memo[w] = self._raw(" " + w)
 
 
 @functools.lru_cache(maxsize=2)
