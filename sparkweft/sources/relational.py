@@ -31,8 +31,11 @@ def _node(df: DataFrame, kind: str | Column, key: Column, name: Column, file: Co
     return df.select(key.alias("id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("node_type"), name.alias("name"), file.alias("file"), (F.pmod(number, F.lit(10)) == 0).alias("exported"), F.xxhash64(key, name, file, metadata).alias("content_hash"), metadata.alias("metadata"))
 
 
-def _events(t: Callable[[str], DataFrame]) -> DataFrame:
-    return t("events").withColumn("kind", F.concat(F.lit("event:"), F.col("event_type")))
+def _event(t: Callable[[str], DataFrame], kind: str | None) -> DataFrame:
+    """The events of one kind under a literal type, or all of them in one scan."""
+    df = t("events") if kind is None else t("events").where(F.col("event_type") == kind)
+    node_type = F.concat(F.lit("event:"), F.col("event_type")) if kind is None else f"event:{kind}"
+    return _node(df, node_type, _ref("EVENT", "event_id"), F.col("event_type"), F.concat(F.lit("events/"), F.col("user_id").cast("string")), {"value": F.col("value"), "props": F.from_json("props", "k bigint")}, F.col("event_id"))
 
 
 def _turn(conv: str = "conv_id", turn: str | Column = "turn") -> Column:
@@ -46,7 +49,7 @@ NODES: dict[str, Callable] = {
     "SUPPLIER": lambda t: _node(t("supplier"), "SUPPLIER", _ref("SUPPLIER", "s_suppkey"), F.col("s_name"), F.lit("crm/suppliers"), {"acctbal": F.col("s_acctbal")}, F.col("s_suppkey")),
     "PART": lambda t: _node(t("part"), "PART", _ref("PART", "p_partkey"), F.col("p_name"), F.concat(F.lit("catalog/"), F.col("p_brand")), {"brand": F.col("p_brand"), "type": F.col("p_type"), "size": F.col("p_size"), "price": F.col("p_retailprice")}, F.col("p_partkey")),
     "ORDER": lambda t: _node(t("orders"), "ORDER", _ref("ORDER", "o_orderkey"), F.col("o_orderpriority"), F.concat(F.lit("orders/"), F.col("o_orderstatus")), {"status": F.col("o_orderstatus"), "total": F.col("o_totalprice"), "date": F.date_format("o_orderdate", "yyyy-MM-dd")}, F.col("o_orderkey")),
-    **{f"event:{x}": lambda t, x=x: _node(t("events").where(F.col("event_type") == x), f"event:{x}", _ref("EVENT", "event_id"), F.col("event_type"), F.concat(F.lit("events/"), F.col("user_id").cast("string")), {"value": F.col("value"), "props": F.from_json("props", "k bigint")}, F.col("event_id")) for x in EVENT_TYPES},
+    **{f"event:{x}": lambda t, x=x: _event(t, x) for x in EVENT_TYPES},
     "DOCUMENT": lambda t: _node(t("documents"), "DOCUMENT", _ref("DOCUMENT", "doc_id"), F.col("doc_id").cast("string"), F.col("source"), {"lang": F.col("lang"), "n_chars": F.col("n_chars")}, F.col("doc_id")),
     "TURN": lambda t: _node(t("conversations"), "TURN", _turn(), F.col("role"), F.concat(F.lit("conv/"), F.col("conv_id").cast("string")), {"turn": F.col("turn")}, F.col("turn")),
 }
@@ -90,7 +93,13 @@ EDGES: dict[str, Callable] = {
 
 
 def _union(makers: dict[str, Callable], names: Iterable[str] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.union, (makers[n](lambda t: read(spark, sf_dir, t)) for n in (names or makers)))
+    wanted = dict.fromkeys(names or makers)
+    table = lambda t: read(spark, sf_dir, t)
+    parts = []
+    if all(f"event:{x}" in wanted for x in EVENT_TYPES):  # one scan of the events serves all their types
+        wanted = [n for n in wanted if not n.startswith("event:")]
+        parts.append(_event(table, None))
+    return reduce(DataFrame.union, [*(makers[n](table) for n in wanted), *parts])
 
 
 def relational_graph(spark: SparkSession, sf_dir: str, node_types: Iterable[str] | None = None, edge_types: Iterable[str] | None = None) -> Graph:
