@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Classes of size per doubling, and hash parts of a class: documents are ordered by class, part and id.
-STEPS, PARTS = 8, 8
+STEPS, PARTS = 4, 8
+#: Random offsets of which a source keeps the one whose words come nearest its target: matters for small sources,
+#: where one long document is a large part.
+TRIES = 32
 
 
 def n_words(text: Column) -> Column:
@@ -46,8 +49,8 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: fl
     """One row per row of docs: its key, size, source, source_size, target and copies (0 to ceil(limit)).
 
     Null texts have size 0; a null source is a source of its own, the last. Repeated rows are each sampled. A source
-    without words has target 0 and rate 0. The same rows give the same copies in every run: the random offset of a
-    source is a hash of seed and source, and rows are ordered by size class, hash part, size and key. No source meets
+    without words has target 0 and rate 0. The same rows give the same copies in every run: the random offsets of a
+    source are hashes of seed and source, and rows are ordered by size class, hash part, size and key. No source meets
     in one task: rows are numbered within (source, class, part) and the counts before it are added.
     """
     return _copies(docs.select(F.col(key).alias("key"), n_words(F.col(text)).alias("size"), F.col(source).alias("source")), weights, limit, seed)
@@ -65,16 +68,26 @@ def _copies(rows: DataFrame, weights: Sequence[float], limit: float, seed: int)
     starts = cells.select(*cell, (F.sum("filled").over(W.partitionBy("source").orderBy("class", "part")) - F.col("filled")).alias("start"))
     plan = _same(starts, rates.select("source", "source_size", "target", "rate"), ["source"])
     inside = W.partitionBy(*cell).orderBy("size", F.xxhash64("key", F.lit(seed)), F.col("key").asc_nulls_last())
-    numbered = _same(counted.withColumn("before", F.sum("n").over(inside) - F.col("n")), plan, cell)
-    offset = F.pmod(F.xxhash64("source", F.lit(seed), F.lit("offset")), F.lit(1 << 30)) / float(1 << 30)
-    k = F.col("start") + F.col("before") + F.col("copy")
-    copies = F.floor((k + 1) * F.col("rate") + offset) - F.floor(k * F.col("rate") + offset)
+    numbered = counted.withColumn("before", F.sum("n").over(inside) - F.col("n"))
+    # What each offset would take of a source: the copies of n like rows telescope.
+    at = F.col("start") + F.col("before")
+    taken = [F.sum(F.col("size") * (F.floor((at + F.col("n")) * F.col("rate") + u) - F.floor(at * F.col("rate") + u))) for u in _offsets(seed)]
+    totals = _same(numbered, plan, cell).groupBy("source", "target").agg(*(t.alias(f"t{i}") for i, t in enumerate(taken)))
+    nearest = F.least(*(F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), u.alias("offset")) for i, u in enumerate(_offsets(seed))))
+    plan = _same(plan, totals.select("source", nearest["offset"].alias("offset")), ["source"])
+    k = at + F.col("copy")
+    copies = F.floor((k + 1) * F.col("rate") + F.col("offset")) - F.floor(k * F.col("rate") + F.col("offset"))
     return (
-        numbered.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        _same(numbered, plan, cell).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         .select("key", "size", "source", "source_size", "target", F.least(copies, F.ceil(F.col("rate"))).cast("long").alias("copies"), "copy")
     )
 
 
+def _offsets(seed: int) -> list[Column]:
+    """The random offsets of a source that are tried: hashes of seed, number and source, from 0 to below 1."""
+    return [F.pmod(F.xxhash64("source", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 30) for i in range(TRIES)]
+
+
 def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join in which null keys meet too; the columns of right's keys are left out."""
     other = right.select(*(F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns))
