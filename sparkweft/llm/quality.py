@@ -86,22 +86,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """Fit on labelled rows whose crc32(doc_id as text) mod folds is not 0: at most DICT_ROWS + CALIBRATION_ROWS a class.
 
-    Null ids, labels and texts take no part. Of repeated labels of a document the smallest holds. Without rows of some
+    Null ids, labels and texts take no part. Of repeated labels or texts of a document the smallest holds. Without rows of some
     class the dictionaries that lack text are empty and the score is the share of label 1, smoothed by one of each.
     """
     id_text = F.col("doc_id").cast("string")
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.where(F.pmod(F.crc32(id_text.cast("binary")), F.lit(folds)) != 0)
     limit = DICT_ROWS + CALIBRATION_ROWS
-    chosen = None
-    for label in (0, 1):
-        some = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    # At most 2 x limit ids: a proven bound for the broadcast and for what reaches the driver.
-    rows = docs.select("doc_id", "text").where("text is not null and text != ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").collect()
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    chosen = known.limit(0)
+    for row in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect():  # two rows
+        # About four times the limit pass the first test, so that the order below is of a bounded number of rows.
+        few = known.where((F.col("quality") == row["quality"]) & (at < min(1.0, 4 * limit / row["n"]) * (1 << 30)))
+        chosen = chosen.unionByName(few.orderBy(at, "doc_id").limit(limit))
+    # At most 2 x limit ids: a proven bound for the broadcast and, one text an id, for what reaches the driver.
+    texts = docs.select("doc_id", "text").where("text is not null and text != ''").join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     side = {0: [], 1: []}
-    for r in sorted({(r["doc_id"], r["quality"], r["text"]) for r in rows}, key=lambda r: (hash_id(r[0]), r[2])):
-        side[r[1]].append(r[2])
+    for r in sorted(rows, key=lambda r: hash_id(r["doc_id"])):
+        side[r["quality"]].append(r["text"])
     share = (len(side[1]) + 1) / (len(side[0]) + len(side[1]) + 2)
     if not side[0] or not side[1]:
         return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (N_FEATURES - 1)))
