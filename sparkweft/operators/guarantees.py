@@ -15,6 +15,20 @@ from ..graph import Graph
 from ..plans.datalog import parse_program, violations
 
 
+# Codes of diagnostics by category.
+CATEGORIES = {
+    "connectivity": ("ERR_DISCONNECTED_NODES", "ERR_DISCONNECTED_NODE"),
+    "calls": ("ERR_UNRESOLVED_CALL",),
+    "dataflow": ("ERR_MISSING_ASSIGNMENT", "ERR_BROKEN_REFERENCE", "ERR_NO_LEAF_NODE"),
+    "imports": ("ERR_BROKEN_IMPORT", "ERR_UNDEFINED_SYMBOL"),
+}
+
+
+def issues_of(issues: DataFrame, category: str) -> DataFrame:
+    """Rows of diagnostics (column code) of a category."""
+    return issues.where(F.col("code").isin(*CATEGORIES[category]))
+
+
 @dataclass(frozen=True)
 class Guarantee:
     id: str
