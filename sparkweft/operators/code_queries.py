@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.attributes import json_attribute, method, parent_dir, receiver
 from ..graph import Graph
+from ..scratch import settled
 from .traverse import chain, levels, reach, steps, upward
 
 # Edge types by what they mean.
@@ -165,7 +166,7 @@ def _uncertain(column: str) -> Column:
 def trace_values(g: Graph, ids: Iterable[str], max_depth: int = 10) -> DataFrame:
     """(origin, id, value, unknown, reason): the literals that may reach each start, and why others cannot be told:
     max_depth, parameter, call_result, implicit_return, nondeterministic or no_sources."""
-    moves = value_moves(g)
+    moves = settled(value_moves(g), "moves")  # joins that every level would make again
     found = reach(_seed(g, ids), moves, max_depth + 1)
     leaves = found.join(moves.select(F.col("src").alias("node")).distinct(), "node", "left_anti").where(F.col("depth") <= max_depth)
     deep = found.where(F.col("depth") == max_depth + 1).select("origin", F.col("node").alias("id"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("unknown"), F.lit("max_depth").alias("reason"))
@@ -210,7 +211,7 @@ def dataflow_moves(g: Graph) -> DataFrame:
 
 def trace_dataflow(g: Graph, node_id: str, direction: str = "backward", max_depth: int = 10, limit: int | None = None) -> DataFrame:
     """(id, depth, direction) along the data flow: backward to sources, forward to uses, or both."""
-    moves = dataflow_moves(g).select("src", "dst")
+    moves = settled(dataflow_moves(g).select("src", "dst"), "moves")
     parts = []
     for way in ("backward", "forward") if direction == "both" else (direction,):
         m = moves if way == "backward" else moves.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -270,6 +271,7 @@ def impact(g: Graph, target: str, max_depth: int = 10, chain_names: int = 4) ->
     owners = containing(g, calls.select(F.col("src").alias("id")).distinct()).select(F.col("origin").alias("src"), F.col("node").alias("owner"))
     is_call = _of(g, *CALLS).select(F.col("id").alias("src"), F.lit(True).alias("is_call"))
     moves = calls.join(is_call, "src", "left").join(owners, "src", "left").select(F.col("dst").alias("src"), F.when(F.col("is_call"), F.coalesce("owner", "src")).otherwise(F.col("src")).alias("dst")).where("src != dst").distinct()
+    moves = settled(moves, "moves")
     seeds = targets.select(F.lit(target).alias("origin"), F.col("id").alias("node"))
     found = reach(seeds, moves, max_depth).where("depth > 0")
     names = g.nodes.select(F.col("id").alias("node"), F.coalesce("name", "id").alias("name"), "file")

@@ -20,13 +20,13 @@ CLOSURE_DEPTH = 100
 
 
 def steps(edges: DataFrame, direction: str = "out", types: Iterable[str] = ()) -> DataFrame:
-    """(src, dst) of the moves that a direction allows: out, in or both."""
+    """(src, dst) of the moves that a direction allows: out, in or both. Not made distinct: each level is."""
     types = list(types)
     e = edges.where(F.col("edge_type").isin(*types)) if types else edges
     out, back = e.select("src", "dst"), e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction {direction!r}")
-    return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.union(back)}[direction]
 
 
 def levels(seeds: DataFrame, moves: DataFrame, max_depth: int, stop: Column | None = None, include_start: bool = True) -> Iterator[DataFrame]:
@@ -111,7 +111,7 @@ def upward(seeds: DataFrame, g: Graph, types: Iterable[str], goal: Column, stop:
     """
     up = steps(g.edges, "in", types)
     typed = g.nodes.select(F.col("id").alias("dst"), "node_type")
-    moves = up.join(typed, "dst").select("src", "dst", goal.alias("is_goal"), (goal | stop).alias("is_stop"))
+    moves = settled(up.join(typed, "dst").select("src", "dst", goal.alias("is_goal"), (goal | stop).alias("is_stop")), "moves")  # read in every level
     frontier = settled(seeds.select("origin", "node").distinct(), "up")
     found: list[DataFrame] = []
     seen = [frontier]
