@@ -186,7 +186,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 at, keys = bucket_keys(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at].view(np.int64))], ["bucket", "fp"])
 
-    buckets = distinct.select("fp").mapInArrow(keyed, "bucket long, fp long").groupBy("bucket").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select(F.sort_array("fps").alias("fps"))
+    # A fingerprint makes about 60 keys: few small input files must not mean few tasks.
+    shuffles = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = distinct.select("fp").repartition(shuffles).mapInArrow(keyed, "bucket long, fp long").groupBy("bucket").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select(F.sort_array("fps").alias("fps"))
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +224,6 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    shuffles = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = buckets.mapInArrow(tiled, "fps array<long>, own int").repartition(shuffles)
     return tiles.mapInArrow(forests, "a long, b long").distinct()
 
@@ -256,14 +257,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("low"))
+    least = settled(both.groupBy("u").agg(F.min("v").alias("low")), "least")  # settled: then Spark can split a hot node's rows in the join
     joined = both.join(least, "u").where("v > u")
     return joined.select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. pairs: u > v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("low"))
+    least = settled(pairs.groupBy("u").agg(F.min("v").alias("low")), "least")
     joined = pairs.join(least, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return joined.unionByName(least.select("u", F.col("low").alias("v"))).distinct()
 
