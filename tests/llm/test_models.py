@@ -189,3 +189,14 @@ def test_language_model_odd_rows(spark):
     unseen = [k for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0][:3]
     alone = L.score_documents(spark.createDataFrame([(k, "a b") for k in unseen], "doc_id long, text string")).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isclose(r["base_score"], 0, abs_tol=1e-9) for r in alone)
+
+
+def test_calibration_stays_finite():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 6))], axis=1)
+    y = (x[:, 1] > 0).astype(float)  # told apart without error
+    w = np.array(quality._logistic(x, y))
+    assert np.abs(w).max() < 50 and ((x @ w > 0) == (y > 0.5)).mean() > 0.97
+    constant = np.ones((10, 7))
+    assert np.isfinite(quality._logistic(constant, np.r_[np.zeros(5), np.ones(5)])).all()
+    assert len(quality._dictionary([b"too little"])) == 10
