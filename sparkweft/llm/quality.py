@@ -21,6 +21,8 @@ from .common import by_batch
 #: of the training sample: by ascending hash of doc_id, so it does not depend on partitioning.
 DICT_ROWS, CALIBRATION_ROWS = 1500, 1500
 DICT_BYTES, LEVEL, THRESHOLD = 1 << 19, 3, 0.3
+#: Bytes compressed at a time: zstd refers to a dictionary in place for input up to this size at LEVEL.
+BLOCK = 1 << 14
 N_FEATURES = 7
 
 
@@ -46,6 +48,11 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False)
 
 
+def _size(compressor: zstandard.ZstdCompressor, raw: bytes) -> int:
+    """Compressed bytes, block by block: each meets the dictionary afresh, so the end of a long text tells as much as its beginning."""
+    return sum(len(compressor.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
+
+
 def _features(texts: list[str | None], good: bytes, bad: bytes, level: int) -> np.ndarray:
     """Of the compressed sizes x (good) and y (bad) and the plain size n: 1, (y - x) / n, (y - x) / (x + y), and how
     far the text compresses at all, for text that repeats itself is small under either dictionary."""
@@ -53,7 +60,7 @@ def _features(texts: list[str | None], good: bytes, bad: bytes, level: int) -> n
     sizes = np.zeros((len(texts), 3))
     for i, text in enumerate(texts):
         if raw := (text or "").encode():
-            sizes[i] = len(a.compress(raw)), len(b.compress(raw)), len(raw)
+            sizes[i] = _size(a, raw), _size(b, raw), len(raw)
     x, y, n = sizes.T
     some = n > 0
     ratio = np.where(some, np.log((x + y + 2) / 2 / (n + 1)), 0.0)
