@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkweft.llm import bpe, mixing, quality, simhash
+from sparkweft.llm import bpe, mixing, near_copies, quality
 from sparkweft.llm.common import settled, table
 
 
@@ -23,31 +22,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one with the smallest doc_id.
 
     Rows with a null doc_id have no name to be chosen by: such a row stays only where its group has no other, once per
     text. Of repeated rows one stays.
     """
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__keep_fp")).distinct()
+    nameless = found.where("doc_id is null and component_id is null").select(F.col("print").alias("__keep_print")).distinct()
     columns = docs.columns
     named = docs.join(chosen, F.col("doc_id") == F.col("__keep_id"), "left_semi").dropDuplicates(["doc_id"])
     rest = docs.where("doc_id is null")
     if rest.limit(1).count():
-        prints = rest.withColumn("__keep_fp", _fingerprint(F.col("text")))
-        named = named.unionByName(prints.join(nameless, "__keep_fp", "left_semi").dropDuplicates(["__keep_fp"]).select(*columns))
+        prints = rest.withColumn("__keep_print", F.udf(near_copies.identity, "binary", useArrow=True)(F.col("text")))
+        named = named.unionByName(prints.join(nameless, "__keep_print", "left_semi").dropDuplicates(["__keep_print"]).select(*columns))
     return named.select(*columns)
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprint(texts):  # noqa: ANN001, ANN202
-    import numpy as np
-    import pandas as pd
-
-    return pd.Series(np.array([simhash.fingerprint(x) for x in texts], np.uint64).view(np.int64), index=texts.index)
-
-
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources by code point weigh 5, 2, 1, repeating."""
     return mixing.mix_documents(docs)
