@@ -269,6 +269,11 @@ def datalog_recursive_path(spark, d):
     return Datalog(Graph(g.nodes, kept), 'above(X, Y) :- edge(X, Y, "PARENT"). above(X, Z) :- above(X, Y), edge(Y, Z, "PARENT").').relation("above")
 
 
+@query(_ANCESTORS.replace(" WHERE o_orderstatus = 'P'", "") + "SELECT a AS a0, b AS a1 FROM up")
+def datalog_recursive_path_whole(spark, d):
+    return Datalog(graph(spark, d, ("ORDER",), ("PARENT",)), 'above(X, Y) :- edge(X, Y, "PARENT"). above(X, Z) :- above(X, Y), edge(Y, Z, "PARENT").').relation("above")
+
+
 @query("SELECT 'REGION:' || n_regionkey AS T FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 7 UNION SELECT 'NATION:' || c_nationkey FROM customer WHERE c_custkey = 7")
 def datalog_path(spark, d):
     return Datalog(graph(spark, d, ("CUSTOMER",), ("PARENT",))).query('path("CUSTOMER:7", T)')
@@ -307,6 +312,15 @@ def parent_lookup(spark, d):
     return traverse.upward(orders.select("origin", F.col("origin").alias("node")), up, ["PARENT"], kind == "NATION", kind == "REGION")
 
 
+@query("SELECT 'ORDER:' || o_orderkey AS origin, 'NATION:' || c_nationkey AS node, 2 AS depth FROM orders JOIN customer ON o_custkey = c_custkey")
+def parent_lookup_whole(spark, d):
+    g = graph(spark, d, ("NATION", "CUSTOMER", "REGION"), ("PARENT",))
+    up = Graph(g.nodes, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", "metadata"))
+    orders = read(spark, d, "orders").select(F.concat(F.lit("ORDER:"), F.col("o_orderkey").cast("string")).alias("origin"))
+    kind = F.col("node_type")
+    return traverse.upward(orders.select("origin", F.col("origin").alias("node")), up, ["PARENT"], kind == "NATION", kind == "REGION")
+
+
 @query("""WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), s AS (SELECT * FROM o WHERE event_id IN (3, 33, 333))
 SELECT 'EVENT:' || s.event_id AS origin, 'EVENT:' || o.event_id AS node, CAST(o.k - s.k AS INTEGER) AS depth FROM s JOIN o USING (user_id) WHERE o.k - s.k BETWEEN 0 AND 5""")
 def alias_chain(spark, d):
@@ -451,6 +465,15 @@ def interface_satisfaction(spark, d):
     return resolve.interface_satisfaction(has, want)
 
 
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey), w AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT o, count(*) AS size FROM w GROUP BY o)
+SELECT 'SUPPLIER:' || s AS struct, 'ORDER:' || o AS interface FROM s JOIN w USING (b) JOIN n USING (o) GROUP BY s, o, size HAVING count(*) = size""")
+def interface_satisfaction_whole(spark, d):
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("method")), "l_partkey")
+    label = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    return resolve.interface_satisfaction(lines.select(label("SUPPLIER", "l_suppkey").alias("struct"), "method"), lines.select(label("ORDER", "l_orderkey").alias("interface"), "method"))
+
+
 @query("""WITH f AS (SELECT source AS file, doc_id AS line, doc_id + n_chars % 200 AS last FROM documents WHERE doc_id % 7 = 0), c AS (SELECT source AS file, doc_id AS line FROM documents WHERE doc_id % 7 <> 0)
 SELECT 'C' || c.line AS call, arg_min('F' || f.line, (f.last - f.line, 'F' || f.line)) AS function FROM c JOIN f ON c.file = f.file AND c.line BETWEEN f.line AND f.last GROUP BY c.line""")
 def range_containment_calls(spark, d):
