@@ -17,6 +17,8 @@ from ..scratch import settled
 
 #: Levels of a transitive closure, at most.
 CLOSURE_DEPTH = 100
+#: Levels of visited nodes that are kept apart before they are written as one.
+KEPT_LEVELS = 16
 
 
 def steps(edges: DataFrame, direction: str = "out", types: Iterable[str] = ()) -> DataFrame:
@@ -48,6 +50,8 @@ def levels(seeds: DataFrame, moves: DataFrame, max_depth: int, stop: Column | No
         if frontier.isEmpty():
             return
         seen.append(frontier)
+        if len(seen) > KEPT_LEVELS:  # a long way must not mean a plan that grows with it
+            seen = [settled(reduce(DataFrame.union, seen), "seen")]
         yield frontier
 
 

@@ -17,7 +17,8 @@ from ..functions.attributes import json_is_text
 from ..graph import Graph
 from ..operators.traverse import reach, steps
 
-MOST_HOPS = 20
+#: Hops of an open pattern: it ends where no new node is reached.
+MOST_HOPS = 1 << 62
 
 
 class CypherError(ValueError):
