@@ -47,7 +47,7 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     """The tokens that an element adds to the path: its tag and the words of its class, id and role."""
     out = [f"t:{tag}"]
     for m in _NAMES.finditer(attributes):
-        out += [f"c:{x.lower()}" for x in _PARTS.findall(m[2] or m[3] or m[4] or "")[:12]]
+        out += [f"c:{x.lower()}" for x in _PARTS.findall(m[2] or m[3] or m[4] or "")]
     return tuple(out)
 
 
@@ -135,7 +135,6 @@ def blocks(page: str | None) -> list[Block]:
 # --- features -------------------------------------------------------------------------------------------------------
 
 PATH_ROWS, WORD_ROWS, PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 2048, 1024, 24, 8, 6, 20
-_SPOKEN = 24  # words of a block that its vector is drawn from: every one of a short block, evenly spread ones of a long one
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -145,13 +144,11 @@ def _row(token: str, rows: int) -> int:
 
 @functools.lru_cache(maxsize=1 << 14)
 def _path_rows(path: tuple[str, ...]) -> np.ndarray:
-    return np.array([_row(t, PATH_ROWS) for t in (path[-40:] or ("t:",))])
+    return np.array([_row(t, PATH_ROWS) for t in (path or ("t:",))])
 
 
 def _words(text: str) -> list[int]:
-    words = text.lower().split()
-    step = max(1, -(-len(words) // _SPOKEN))
-    return [zlib.crc32(w.encode()) % WORD_ROWS for w in words[::step]]
+    return [zlib.crc32(w.encode()) % WORD_ROWS for w in text.lower().split()]
 
 
 def describe(page: list[Block]) -> tuple[list[np.ndarray], list[list[int]], np.ndarray]:
