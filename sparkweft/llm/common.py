@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes that one Arrow batch may hold: bounds a Python worker's memory whatever the texts' lengths.
@@ -56,3 +57,14 @@ def by_batch(df: DataFrame, columns: dict[str, pa.DataType], schema: str, work:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return df.mapInArrow(run, schema)
+
+
+def md5_bits(*parts: Column | int | str) -> Column:
+    """52 bits, as a long, of the MD5 of the parts as text joined by "|": the same in any engine. Null parts are "null"."""
+    shown = [F.lit(str(p)) if not isinstance(p, Column) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *shown).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def uniform(*parts: Column | int | str) -> Column:
+    """A number between 0 and 1, both left out, from md5_bits of the parts."""
+    return (md5_bits(*parts).cast("double") + 0.5) / float(1 << 52)

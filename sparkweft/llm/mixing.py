@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling, in built-in expressions only.
 
-Each document of a source is expected target / size-of-source times. Expected copies are summed up in an order that
-spreads sizes evenly, one random offset is added, and a document is emitted once per integer the running sum passes.
+Each document of a source is expected target / size-of-source times. Expected copies are summed up in order of size,
+one random offset a source is added, and a document is emitted once per integer the running sum passes.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import md5_bits, settled, uniform
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Classes of size per doubling, and hash parts of a class: documents are ordered by class, part and id.
-STEPS, PARTS = 4, 8
-#: Random offsets of which a source keeps the one whose words come nearest its target: matters for small sources,
-#: where one long document is a large part.
-TRIES = 32
+#: Bits of a size that name its class below the first, so a class is 6 % wide and sizes below 32 have their own; and
+#: hash parts of a class. Constants, so that the mix does not depend on the session's settings.
+STEP_BITS, PARTS = 4, 16
 
 
 def n_words(text: Column) -> Column:
@@ -49,45 +49,42 @@ def with_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: fl
     """One row per row of docs: its key, size, source, source_size, target and copies (0 to ceil(limit)).
 
     Null texts have size 0; a null source is a source of its own, the last. Repeated rows are each sampled. A source
-    without words has target 0 and rate 0. The same rows give the same copies in every run: the random offsets of a
-    source are hashes of seed and source, and rows are ordered by size class, hash part, size and key. No source meets
-    in one task: rows are numbered within (source, class, part) and the counts before it are added.
+    without words has target 0 and rate 0; an empty table gives an empty one; other columns, whatever their names,
+    take no part. All randomness is MD5 of seed and row, so equal tables give equal copies whatever their partitions
+    and the session's settings. No source meets in one task: rows are numbered within (source, size class, hash part)
+    and the counts before it are added.
     """
     return _copies(docs.select(F.col(key).alias("key"), n_words(F.col(text)).alias("size"), F.col(source).alias("source")), weights, limit, seed)
 
 
+def size_class(size: Column) -> Column:
+    """Rises with size, in integers only: sizes below 2^(STEP_BITS + 1) have a class each, larger ones share their first bits."""
+    low = F.greatest(F.length(F.bin(size)) - (STEP_BITS + 1), F.lit(0)).cast("int")
+    return (F.lit(1 << STEP_BITS) * low + F.call_function("shiftright", size, low)).cast("int")
+
+
 def _copies(rows: DataFrame, weights: Sequence[float], limit: float, seed: int) -> DataFrame:
-    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(PARTS, shuffles // 4)
     cell = ["source", "class", "part"]
     counted = rows.groupBy("key", "size", "source").agg(F.count(F.lit(1)).alias("n")).select(
-        "*", F.floor(F.log2(F.col("size") + 1.0) * STEPS).cast("int").alias("class"), F.pmod(F.xxhash64("key", "size", F.lit(seed)), F.lit(parts)).cast("int").alias("part"))
+        "*", size_class(F.col("size")).alias("class"), F.pmod(md5_bits("part", seed, F.col("key"), F.col("size")), F.lit(PARTS)).cast("int").alias("part"))
     cells = counted.groupBy(*cell).agg(F.sum("n").alias("filled"), F.sum(F.col("n") * F.col("size")).alias("words"))
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     rates = water_fill(sizes, weights, limit).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    starts = cells.select(*cell, (F.sum("filled").over(W.partitionBy("source").orderBy("class", "part")) - F.col("filled")).alias("start"))
+    # Largest first: what the copies so far are off by weighs no more than the step from one size to the next, so a
+    # source comes as near to its target as its largest document allows.
+    starts = cells.select(*cell, (F.sum("filled").over(W.partitionBy("source").orderBy(F.desc("class"), "part")) - F.col("filled")).alias("start"))
     plan = _same(starts, rates.select("source", "source_size", "target", "rate"), ["source"])
-    inside = W.partitionBy(*cell).orderBy("size", F.xxhash64("key", F.lit(seed)), F.col("key").asc_nulls_last())
+    inside = W.partitionBy(*cell).orderBy(F.desc("size"), md5_bits("order", seed, F.col("key")), F.col("key").asc_nulls_last())
     numbered = counted.withColumn("before", F.sum("n").over(inside) - F.col("n"))
-    # What each offset would take of a source: the copies of n like rows telescope.
-    at = F.col("start") + F.col("before")
-    taken = [F.sum(F.col("size") * (F.floor((at + F.col("n")) * F.col("rate") + u) - F.floor(at * F.col("rate") + u))) for u in _offsets(seed)]
-    totals = _same(numbered, plan, cell).groupBy("source", "target").agg(*(t.alias(f"t{i}") for i, t in enumerate(taken)))
-    nearest = F.least(*(F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), u.alias("offset")) for i, u in enumerate(_offsets(seed))))
-    plan = _same(plan, totals.select("source", nearest["offset"].alias("offset")), ["source"])
-    k = at + F.col("copy")
-    copies = F.floor((k + 1) * F.col("rate") + F.col("offset")) - F.floor(k * F.col("rate") + F.col("offset"))
+    k = F.col("start") + F.col("before") + F.col("copy")
+    offset = uniform("offset", seed, F.col("source"))
+    copies = F.floor((k + 1) * F.col("rate") + offset) - F.floor(k * F.col("rate") + offset)
     return (
         _same(numbered, plan, cell).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         .select("key", "size", "source", "source_size", "target", F.least(copies, F.ceil(F.col("rate"))).cast("long").alias("copies"), "copy")
     )
 
 
-def _offsets(seed: int) -> list[Column]:
-    """The random offsets of a source that are tried: hashes of seed, number and source, from 0 to below 1."""
-    return [F.pmod(F.xxhash64("source", F.lit(seed), F.lit(i)), F.lit(1 << 30)) / float(1 << 30) for i in range(TRIES)]
-
-
 def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Inner join in which null keys meet too; the columns of right's keys are left out."""
     other = right.select(*(F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns))
@@ -100,14 +97,29 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: float = 3, seed: int = 42) -> DataFrame:
     """docs with every row repeated as often as the mix takes it (0 times: left out); same columns.
 
-    Rows that share doc_id, size and source are alike to the sampler: their copies are summed and dealt out evenly.
+    Rows are sampled as in with_copies. Those that share doc_id, size and source are alike to the sampler: their
+    copies are summed and dealt out evenly over the different rows, in the order of a hash of all their columns. Only
+    rows without a doc_id and repeated rows can be such; equal ones are counted before they are shuffled.
     """
     keep = docs.columns
     sized = docs.withColumn("__mix_key", F.struct(F.col("doc_id").alias("a"), n_words(F.col("text")).alias("b"), F.col("source").alias("c")))
     got = _copies(sized.select(F.col("__mix_key.a").alias("key"), F.col("__mix_key.b").alias("size"), F.col("__mix_key.c").alias("source")), weights, limit, seed)
     taken = got.groupBy(F.struct(F.col("key").alias("a"), F.col("size").alias("b"), F.col("source").alias("c")).alias("__mix_key"))
-    taken = taken.agg(F.sum("copies").alias("__mix_sum"), F.count(F.lit(1)).alias("__mix_n")).where("__mix_sum > 0")
-    turn = F.row_number().over(W.partitionBy("__mix_key").orderBy(F.xxhash64("text")))
-    share = F.expr("__mix_sum div __mix_n") + F.when(turn <= F.expr("__mix_sum % __mix_n"), 1).otherwise(0)
-    both = sized.join(taken, "__mix_key").withColumn("__mix_copies", share).where("__mix_copies > 0")
-    return both.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies").cast("long")))).select(*keep)
+    taken = settled(taken.agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_n")).where("__mix_copies > 0"), "taken")
+    mixed = sized.join(taken.where("__mix_n = 1"), "__mix_key").select(*keep, "__mix_copies")
+    if taken.where("__mix_n > 1").limit(1).count():
+        mixed = mixed.unionByName(_dealt_out(sized.join(taken.where("__mix_n > 1"), "__mix_key"), keep))
+    return mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*keep)
+
+
+def _dealt_out(shared: DataFrame, keep: list[str]) -> DataFrame:
+    """Each different row of a shared key once, with the copies that it takes of the key's sum: those that fall on its
+    places in the order of the key's rows. Only hashes and counts pass through the window."""
+    on = ["__mix_key", "__mix_hash"]
+    rows = shared.withColumn("__mix_hash", F.xxhash64(*(F.col(c) for c in keep)))
+    whole = rows.groupBy(*on).agg(F.first(F.struct(*keep)).alias("__mix_row"), F.count(F.lit(1)).alias("__mix_rows"), F.first("__mix_copies").alias("__mix_sum"), F.first("__mix_n").alias("__mix_all"))
+    before = F.sum("__mix_rows").over(W.partitionBy("__mix_key").orderBy("__mix_hash")) - F.col("__mix_rows")
+    places = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__mix_rows")).select(*on, before.alias("__mix_before"))
+    upto = lambda n: F.expr(f"({n}) * __mix_sum div __mix_all")
+    copies = upto("__mix_before + __mix_rows") - upto("__mix_before")
+    return _same(whole, places, on).select("__mix_row.*", copies.alias("__mix_copies")).where("__mix_copies > 0")

@@ -57,6 +57,48 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS).drop("copies_before")
 
 
+#: op7 in DuckDB's SQL; the CRC-32 is computed byte by byte from a table made by its rule.
+OP7_SQL = """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8
+), bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    list_transform(string_split(rtrim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g')), ' '), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM (SELECT doc_id, nullif(text, '') AS text FROM documents WHERE text <> '')
+  UNION ALL SELECT doc_id, 1, NULL FROM documents WHERE text IS NULL OR text = ''
+), digests AS (
+  SELECT doc_id, size, CASE WHEN b IS NULL THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) END AS text_crc32, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM bytes, crc
+), scored AS (
+  SELECT *, list_transform(range(9), lambda i: CAST('0x' || substr(md5('shard|' || k || '|' || i), 1, 13) AS BIGINT)) AS s, CAST('0x' || substr(md5('slot|' || k || '|' || size || '|' || text_crc32), 1, 13) AS BIGINT) % 1024 AS bucket FROM digests
+), placed AS (SELECT *, list_position(s, list_max(s[1:8])) - 1 AS shard, list_position(s, list_max(s)) - 1 AS grown_shard FROM scored)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS LAST, size, text_crc32) - 1 AS BIGINT) AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM placed
+"""
+
+#: op8 in DuckDB's SQL.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM s
+), l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), f AS (SELECT *, level * weight >= cap AS filled, max(CASE WHEN level * weight < cap THEN level END) OVER () AS share FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN filled THEN cap ELSE least(cap, share * weight) END AS target,
+    (CAST('0x' || substr(md5('offset|42|' || coalesce(source, 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496 AS u FROM f
+), c AS (
+  SELECT *, greatest(length(bin(size)) - 5, 0) AS low, CAST('0x' || substr(md5('part|42|' || k || '|' || size), 1, 13) AS BIGINT) % 16 AS part, CAST('0x' || substr(md5('order|42|' || k), 1, 13) AS BIGINT) AS ord FROM d
+), n AS (
+  SELECT c.doc_id, c.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY c.source ORDER BY 16 * low + (c.size >> low) DESC, part, c.size DESC, ord, c.doc_id NULLS LAST) - 1 AS place
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+), e AS (SELECT *, CAST(least(floor((place + 1) * rate + u) - floor(place * rate + u), ceil(rate)) AS BIGINT) AS copies FROM n)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM e
+"""
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -93,6 +135,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL follows op6. The others rest on hashes of other libraries, tokenizers, models or random offsets, which SQL
+    """SQL follows op6, op7 and op8. The others rest on hashes of other libraries, tokenizers or models, which SQL
     cannot follow to the last digit: the tests hold each of them against a plain Python version instead."""
-    return {"op6_exact_topk": OP6_SQL}
+    return {"op6_exact_topk": OP6_SQL, "op7_rendezvous": OP7_SQL, "op8_systematic_mix": OP8_SQL}

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Hash buckets that one shard's slots are counted in, at least; more where the session shuffles to more partitions.
-BUCKETS = 256
+from .common import md5_bits, uniform
+
+#: Hash buckets that one shard's slots are counted in. A constant, so slots do not depend on the session's settings:
+#: 8 shards have 8,192 cells, so 10^11 rows are 12 million narrow ones to a cell.
+BUCKETS = 1024
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
     """weight / -ln(u), u uniform in (0, 1) from key and shard: the largest score wins in proportion to its weight."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard), F.lit("rendezvous")), 11)
-    return F.lit(float(weight)) / -F.log((bits.cast("double") + 0.5) / float(1 << 53))
+    return F.lit(float(weight)) / -F.log(uniform("shard", key, shard))
 
 
 def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
@@ -34,18 +36,18 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id"
 
     law is always "key". slot counts gapless from 0 within a shard. grown_shard is the shard when one more of mean
     weight is added. A null text has size 1 and crc32 0; a null key is a key like any other; repeated rows are all
-    kept, each with its own slot. Repeated rows are counted before the shuffle and spread out after it, and a shard's
-    slots are numbered within hash buckets whose offsets are added, so no key, text or shard meets in one task.
+    kept, each with its own slot; an empty table gives an empty one; other columns, whatever their names, take no
+    part. Repeated rows are counted before the shuffle and spread out after it, and a shard's slots are numbered
+    within hash buckets whose offsets are added, so no key, text or shard meets in one task. All randomness is MD5 of
+    the row, so equal tables give equal rows whatever their partitions and the session's settings.
     """
-    spark = docs.sparkSession
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     counted = rows.groupBy("key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     grown = [*weights, sum(weights) / len(weights)]
     placed = counted.select(
         "*", rendezvous_shard(F.col("key"), weights).alias("shard"), rendezvous_shard(F.col("key"), grown).alias("grown_shard"),
-        F.pmod(F.xxhash64("key", "size", "text_crc32", F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(md5_bits("slot", F.col("key"), F.col("size"), F.col("text_crc32")), F.lit(BUCKETS)).cast("int").alias("bucket"),
     )
     sums = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("filled"))
     starts = sums.select("shard", "bucket", (F.sum("filled").over(W.partitionBy("shard").orderBy("bucket")) - F.col("filled")).alias("start"))
