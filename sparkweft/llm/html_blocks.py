@@ -28,8 +28,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSED_BY_BLOCK = frozenset("p".split())
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Of the unshown ones: those whose content is raw text, so that without an end tag they reach to the end of the page.
+RAW = frozenset("script style title textarea iframe".split())
+
+#: A comment, a declaration, or a tag with its attributes. Quotes delimit a value only directly after "=", and only if
+#: they are closed; anywhere else they are characters.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>]*+)"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+{_VALUE})*+)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(rf"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_NAMING = frozenset("class id role".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -46,11 +53,28 @@ class Block(NamedTuple):
 def _element(tag: str, attributes: str) -> tuple[str, ...]:
     """The tokens that an element adds to the path: its tag and the words of its class, id and role."""
     out = [f"t:{tag}"]
-    for m in _NAMES.finditer(attributes):
-        out += [f"c:{x.lower()}" for x in _PARTS.findall(m[2] or m[3] or m[4] or "")]
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in _NAMING:
+            out += [f"c:{x.lower()}" for x in _PARTS.findall(m[2] or m[3] or m[4] or "")]
     return tuple(out)
 
 
+@functools.lru_cache(maxsize=32)
+def _same_tags(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
+def _past(page: str, tag: str, at: int) -> int:
+    """Where an unshown element that was opened before `at` ends. Raw text ends at the first end tag or with the page;
+    other elements hold elements of their kind, and where no end tag follows they hide nothing."""
+    open_ = 1
+    for m in _same_tags(tag).finditer(page, at):
+        open_ += -1 if m[1] else tag not in RAW and not m[0].endswith("/>")
+        if not open_:
+            return m.end()
+    return len(page) if tag in RAW else at
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, white space folded; blocks without text are left out.
 
@@ -113,8 +137,7 @@ def blocks(page: str | None) -> list[Block]:
             in_link = 0
         elif tag in UNSHOWN:
             if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = stop.end() if stop else size
+                at = _past(page, tag, at)
         else:
             end()
             in_link = 0
@@ -478,7 +501,11 @@ def main_text(pages: list[str | None], model: Labeller) -> list[str]:
 
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row, repeated rows too; a null html gives an empty text."""
+    """(page_id, url, text, n_chars) for every row, repeated rows too; a null html gives an empty text.
+
+    Pages are read whole whatever their length: the memory of a page goes with its blocks. An empty table gives an
+    empty one; other columns, whatever their names, take no part.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def work(ids: list, urls: list, html_: list) -> list:
