@@ -1,7 +1,8 @@
 """Quality classifier by compression: zstandard with a dictionary of good and one of bad text.
 
-A text's sizes under the two dictionaries differ by how much of it either has seen; the difference over the plain
-size is calibrated to a probability by logistic regression on labelled rows that the dictionaries have not seen.
+A text's compressed sizes under the two dictionaries, which are of equal size, differ by how much of it either has
+seen. The normalised difference alone is calibrated to a probability, by logistic regression on labelled rows that the
+dictionaries of their fold have not seen.
 """
 
 from __future__ import annotations
@@ -17,25 +18,25 @@ from pyspark.sql import functions as F
 
 from .common import by_batch
 
-#: Labelled rows of either class that the dictionaries and the calibration are fitted on, at most. This is the bound
-#: of the training sample: by ascending hash of doc_id, so it does not depend on partitioning.
-DICT_ROWS, CALIBRATION_ROWS = 1500, 1500
-DICT_BYTES, LEVEL, THRESHOLD = 1 << 19, 3, 0.3
-#: Bytes compressed at a time: zstd refers to a dictionary in place for input up to this size at LEVEL.
-BLOCK = 1 << 14
-N_FEATURES = 7
+#: The bound of the training sample: labelled rows of either class, by ascending hash of doc_id, so it does not depend
+#: on partitioning; and characters that a row gives to it, from a place chosen by the same hash.
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 1 << 14
+DICT_BYTES, LEVEL, THRESHOLD = 112_640, 3, 0.3
+#: Bytes compressed at a time: small, so that the dictionary tells more than the text's own beginning.
+BLOCK = 1 << 11
+FOLDS = 4
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
+    weights: tuple[float, float]
     level: int = LEVEL
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of label 1 for each text; null and empty texts get that of no evidence."""
-        z = _features(texts, self.good, self.bad, self.level) @ np.array(self.weights)
+        z = self.weights[0] + self.weights[1] * difference(texts, self.good, self.bad, self.level)
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
@@ -53,35 +54,39 @@ def _size(compressor: zstandard.ZstdCompressor, raw: bytes) -> int:
     return sum(len(compressor.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
 
 
-def _features(texts: list[str | None], good: bytes, bad: bytes, level: int) -> np.ndarray:
-    """Of the compressed sizes x (good) and y (bad) and the plain size n: 1, (y - x) / n, (y - x) / (x + y), and how
-    far the text compresses at all, for text that repeats itself is small under either dictionary."""
+def difference(texts: list[str | None], good: bytes, bad: bytes, level: int = LEVEL) -> np.ndarray:
+    """(y - x) / (y + x) of the compressed sizes x under the good and y under the bad dictionary; 0 for null and empty texts."""
     a, b = _compressor(good, level), _compressor(bad, level)
-    sizes = np.zeros((len(texts), 3))
+    out = np.zeros(len(texts))
     for i, text in enumerate(texts):
         if raw := (text or "").encode():
-            sizes[i] = _size(a, raw), _size(b, raw), len(raw)
-    x, y, n = sizes.T
-    some = n > 0
-    ratio = np.where(some, np.log((x + y + 2) / 2 / (n + 1)), 0.0)
-    out = [np.ones(len(texts)), 10 * (y - x) / (n + 16), 4 * (y - x) / np.maximum(x + y, 1), ratio, ratio**2, np.log(n + 1) / 4, np.maximum(ratio + 1.6, 0)]
-    return np.stack([out[0], *(np.where(some, c, 0.0) for c in out[1:])], axis=1)
+            x, y = _size(a, raw), _size(b, raw)
+            out[i] = (y - x) / (y + x)
+    return out
 
 
 def _dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary. The trainer now and then stops far below the size asked for: longer segments are tried
-    then; where it has too little to go on, the texts' own bytes serve as a raw one."""
+    """A trained dictionary of at most size bytes. The trainer now and then stops far below it: longer segments are
+    tried then; where it has too little to go on, the texts' own bytes serve as a raw one."""
     pieces = [x[i : i + 1024] for x in texts for i in range(0, len(x), 1024)]
     best = b""
-    for k in (256, 512, 1024, 2048):
+    for k in (64, 256, 1024):
         try:
             found = zstandard.train_dictionary(size, pieces, k=k, d=8).as_bytes()
         except zstandard.ZstdError:
             continue
         best = max(best, found, key=len)
-        if len(best) > size // 2:
+        if len(best) > 0.9 * size:
             return best
-    return max(best, b"\n".join(texts)[-size:], key=len)
+    return best or b"\n".join(texts)[-size:]
+
+
+def _dictionaries(bad: list[bytes], good: list[bytes]) -> tuple[bytes, bytes]:
+    """(good, bad) of about one size: the smaller class bounds both, for a larger dictionary would win by its size alone."""
+    first = _dictionary(min(bad, good, key=lambda x: sum(map(len, x))))
+    room = max(256, min(len(first), DICT_BYTES))
+    pair = {id(min(bad, good, key=lambda x: sum(map(len, x)))): first}
+    return pair.get(id(good)) or _dictionary(good, room), pair.get(id(bad)) or _dictionary(bad, room)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -110,35 +115,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
-    """Fit on labelled rows whose crc32(doc_id as text) mod folds is not 0: at most DICT_ROWS + CALIBRATION_ROWS a class.
+    """Fit on labelled rows whose crc32(doc_id as text) mod folds is not 0: at most SAMPLE_ROWS a class, of each at
+    most SAMPLE_CHARS characters. That bounds what reaches the driver.
 
-    Null ids, labels and texts take no part. Of repeated labels or texts of a document the smallest holds. Without rows of some
-    class the dictionaries that lack text are empty and the score is the share of label 1, smoothed by one of each.
+    Each of FOLDS parts of the sample is measured with dictionaries of the other parts; the calibration is fitted on
+    all of these, and the dictionaries that stay are those of the whole sample. Null ids, labels and texts take no
+    part; of repeated labels or texts of a document the smallest holds. Without two rows of either class the
+    dictionaries are empty and the score is the share of label 1, smoothed by one of each.
     """
     id_text = F.col("doc_id").cast("string")
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.where(F.pmod(F.crc32(id_text.cast("binary")), F.lit(folds)) != 0)
-    limit = DICT_ROWS + CALIBRATION_ROWS
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.limit(0)
     for row in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect():  # two rows
         # About four times the limit pass the first test, so that the order below is of a bounded number of rows.
-        few = known.where((F.col("quality") == row["quality"]) & (at < min(1.0, 4 * limit / row["n"]) * (1 << 30)))
-        chosen = chosen.unionByName(few.orderBy(at, "doc_id").limit(limit))
-    # At most 2 x limit ids: a proven bound for the broadcast and, one text an id, for what reaches the driver.
+        few = known.where((F.col("quality") == row["quality"]) & (at < min(1.0, 4 * SAMPLE_ROWS / row["n"]) * (1 << 30)))
+        chosen = chosen.unionByName(few.orderBy(at, "doc_id").limit(SAMPLE_ROWS))
+    # At most 2 x SAMPLE_ROWS ids: a proven bound for the broadcast and, one text an id, for what reaches the driver.
+    room = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    part = F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     texts = docs.select("doc_id", "text").where("text is not null and text != ''").join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    side = {0: [], 1: []}
+    rows = texts.select("doc_id", "quality", part.alias("text")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    side: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: hash_id(r["doc_id"])):
-        side[r["quality"]].append(r["text"])
+        side[r["quality"]].append(r["text"].encode())
     share = (len(side[1]) + 1) / (len(side[0]) + len(side[1]) + 2)
-    if not side[0] or not side[1]:
-        return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * (N_FEATURES - 1)))
-    halves = {k: (v[::2], v[1::2]) if len(v) > 1 else (v, v) for k, v in side.items()}
-    dicts = {k: _dictionary([x.encode() for x in halves[k][0]]) for k in halves}
-    x = np.concatenate([_features(halves[k][1], dicts[1], dicts[0], LEVEL) for k in (0, 1)])
-    y = np.concatenate([np.full(len(halves[k][1]), float(k)) for k in (0, 1)])
-    return Model(dicts[1], dicts[0], _logistic(x, y))
+    if min(map(len, side.values())) < 2:
+        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0))
+    x, y = [], []
+    for fold in range(FOLDS):
+        rest = {k: [t for i, t in enumerate(v) if i % FOLDS != fold] for k, v in side.items()}
+        if min(map(len, rest.values())):
+            good, bad = _dictionaries(rest[0], rest[1])
+            for k, v in side.items():
+                held = [t.decode() for t in v[fold::FOLDS]]
+                x.append(difference(held, good, bad))
+                y.append(np.full(len(held), float(k)))
+    d = np.concatenate(x)
+    good, bad = _dictionaries(side[0], side[1])
+    return Model(good, bad, _logistic(np.stack([np.ones(len(d)), d], axis=1), np.concatenate(y)))
 
 
 def hash_id(doc_id: int) -> int:
@@ -148,7 +164,10 @@ def hash_id(doc_id: int) -> int:
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1) and predicted (score >= threshold) for the whole text of every row."""
+    """docs with score (0 to 1) and predicted (score >= threshold) for the whole text of every row, repeated rows too.
+
+    Columns of these two names that docs has are replaced; all others stay.
+    """
     if {"score", "predicted"} & set(docs.columns):
         docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -163,7 +182,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def quality_table(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; a null doc_id is not held out."""
+    """(doc_id, held_out, score, predicted) for every row, repeated rows too; a null doc_id is not held out. Other
+    columns of docs, whatever their names, take no part; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(ids: list, held: list, texts: list) -> list:
