@@ -39,7 +39,17 @@ def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more: what was made of them is settled itself."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def by_batch(df: DataFrame, columns: dict[str, pa.DataType], schema: str, work: Callable[..., list]) -> DataFrame:

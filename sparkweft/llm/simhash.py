@@ -15,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batch, settled
+from .common import arrow_limits, by_batch, release, settled
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Bits of the three segments, from the lowest.
 SEGMENTS = (22, 21, 21)
-#: Fingerprints of a bucket that one task compares; larger buckets are cut into tiles of two such slices.
+#: Fingerprints of a bucket that one task compares. Larger buckets are divided by the bits that they leave open, and
+#: what is still larger is cut into tiles of two such slices.
 SLICE = 2048
 #: The generator polynomial of the binary Golay code (23, 12, 7): x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -172,8 +173,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): links between the distinct fingerprints in column fp that have the components of all pairs at `distance`
     bits or fewer (4 at most, as the keys promise).
 
-    Buckets of one are dropped before any Python; each bucket gives a spanning forest, never all of its pairs; a
-    bucket over SLICE fingerprints is cut into tiles of two slices, one task's work each, so none is capped.
+    Buckets are counted before any is gathered. Those of one are dropped, those up to SLICE gathered; each gives a
+    spanning forest, never all of its pairs. No larger one meets in a task, and none is capped.
     """
     if distance > DISTANCE:
         raise ValueError("the keys find links of at most 4 bits")
@@ -188,50 +189,81 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     # A fingerprint makes about 60 keys: few small input files must not mean few tasks.
     shuffles = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = distinct.select("fp").repartition(shuffles).mapInArrow(keyed, "bucket long, fp long").groupBy("bucket").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select(F.sort_array("fps").alias("fps"))
-
-    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, lefts = [], []
-            for fps in batch.column(0):
-                x = fps.values.to_numpy(zero_copy_only=False)
-                cuts = range(0, len(x), SLICE)
-                for i in cuts:
-                    for j in (k for k in cuts if k >= i):
-                        part = x[i : i + SLICE] if i == j else np.concatenate([x[i : i + SLICE], x[j : j + SLICE]])
-                        whole.append(part)
-                        lefts.append(min(SLICE, len(x) - i) if i != j else len(part))
-                        if sum(map(len, whole[-64:])) > 1 << 17:
-                            yield _tiles(whole, lefts)
-                            whole, lefts = [], []
-            if whole:
-                yield _tiles(whole, lefts)
+    rows = distinct.select("fp").repartition(shuffles).mapInArrow(keyed, "bucket long, fp long")
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    hot = settled(counts.where(F.col("n") > SLICE), "hot")
+    if hot.limit(1).count():
+        divided = settled(_divided(rows.join(hot.select("bucket"), "bucket", "left_semi"), distance), "divided")
+        still = settled(divided.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SLICE), "still")
+        small = rows.join(hot.select("bucket"), "bucket", "left_anti").unionByName(divided.join(still.select("bucket"), "bucket", "left_anti"))
+        gathered = _gathered(small).unionByName(_tiled(divided.join(still, "bucket")))
+    else:
+        gathered = _gathered(rows)
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            pairs = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(0)), 2))
+            lengths, others = pc.list_value_length(batch.column(0)), pc.list_value_length(batch.column(1))
+            two = pc.and_(pc.equal(lengths, 2), pc.equal(others, 0))
+            pairs = batch.filter(two)
             if pairs.num_rows:  # most buckets hold two fingerprints: all of them at once
                 x = pairs.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
                 hit = np.bitwise_count((x[:, 0] ^ x[:, 1]).astype(np.uint64)) <= distance
                 found.append((x[hit, 0], x[hit, 1]))
-            rest = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column(0)), 2))
-            for fps, left in zip(rest.column(0), rest.column(1).to_pylist(), strict=True):
-                a, b = _forest(fps.values.to_numpy(zero_copy_only=False).view(np.uint64), left, distance)
+            rest = batch.filter(pc.invert(two))
+            for xs, ys in zip(rest.column(0), rest.column(1), strict=True):
+                own, far = (z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in (xs, ys))
+                a, b = _forest(np.concatenate([np.sort(own), np.sort(far)]), len(own), distance)
                 found.append((a.view(np.int64), b.view(np.int64)))
             if found:
                 a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    tiles = buckets.mapInArrow(tiled, "fps array<long>, own int").repartition(shuffles)
-    return tiles.mapInArrow(forests, "a long, b long").distinct()
+    return gathered.repartition(shuffles).mapInArrow(forests, "a long, b long").distinct()
+
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(xs, ys) of the buckets with two members or more: all of them, and none to compare them with but themselves."""
+    return rows.groupBy("bucket").agg(F.collect_list("fp").alias("xs")).where(F.size("xs") > 1).select("xs", F.array().cast("array<long>").alias("ys"))
 
-def _tiles(whole: list[np.ndarray], lefts: list[int]) -> pa.RecordBatch:
-    offsets = np.cumsum([0, *map(len, whole)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(whole)))
-    return pa.RecordBatch.from_arrays([lists, pa.array(lefts, pa.int32())], ["fps", "own"])
+
+def _divided(rows: DataFrame, distance: int) -> DataFrame:
+    """Hot buckets' rows (bucket, fp) in smaller buckets: the bits that a bucket's exact segment does not fix are cut
+    into distance + 1 pieces, of which a link leaves one unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            table = bucket >> 40
+            for exact in (-1, *range(len(SEGMENTS))):  # the table on keys alone fixes no segment
+                at = np.flatnonzero(np.where(table > 0, (table - 1) // 2, -1) == exact)
+                if not len(at):
+                    continue
+                rest, bits, shift = np.zeros(len(at), np.uint64), 0, 0
+                for i, size in enumerate(SEGMENTS):
+                    if i != exact:
+                        rest |= (fps[at] >> np.uint64(shift) & np.uint64((1 << size) - 1)) << np.uint64(bits)
+                        bits += size
+                    shift += size
+                cuts = [bits * k // (distance + 1) for k in range(distance + 2)]
+                for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    piece = (rest >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array((piece << 3 | k)), pa.array(fps[at].view(np.int64))], ["bucket", "piece", "fp"])
+
+    return rows.mapInArrow(run, "bucket long, piece long, fp long").select(F.xxhash64("bucket", "piece").alias("bucket"), "fp")
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """(xs, ys) of the tiles of two slices that buckets (bucket, n, fp) over SLICE are cut into: xs against xs and ys."""
+    parts = F.ceil(F.col("n") / float(SLICE)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    placed = rows.select("bucket", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("met"))
+    tiles = placed.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), (F.col("own") <= F.col("met")).alias("first"), "fp")
+    sides = (F.collect_list(F.when(F.col("first") == side, F.col("fp"))).alias(name) for side, name in ((True, "xs"), (False, "ys")))
+    return tiles.groupBy("bucket", "low", "high").agg(*sides).select("xs", "ys")
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -250,7 +282,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
-        pairs = settled(_small_star(_large_star(pairs)), "links")
+        large = _large_star(pairs)
+        release(pairs)
+        pairs = _small_star(large)
+        release(large)
     raise RuntimeError("components did not settle")
 
 
@@ -259,14 +294,18 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = settled(both.groupBy("u").agg(F.min("v").alias("low")), "least")  # settled: then Spark can split a hot node's rows in the join
     joined = both.join(least, "u").where("v > u")
-    return joined.select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+    out = settled(joined.select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct(), "links")
+    release(least)
+    return out
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. pairs: u > v."""
     least = settled(pairs.groupBy("u").agg(F.min("v").alias("low")), "least")
     joined = pairs.join(least, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return joined.unionByName(least.select("u", F.col("low").alias("v"))).distinct()
+    out = settled(joined.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+    release(least)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
