@@ -1,30 +1,41 @@
-"""Near copies by words: the pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by words: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: BANDS keys of ROWS minima each, so a pair at similarity s shares no key with probability
-(1 - s^ROWS)^BANDS: 3 in a million at 0.8, less above. A candidate pair counts only if its whole sets of shingles say
-so. Texts of the same words are one text before anything is compared.
+Candidates come from two places. SimHash fingerprints over the same shingles, joined through their Golay keys, give
+the pairs within 4 bits (simhash.py); a pair at 0.8 differs in 10 of 64 bits on average, which no number of Golay
+tables reaches at a bearable cost. So MinHash gives the rest: BANDS keys of ROWS minima each, by which a pair at 0.8
+shares no key with probability (1 - 0.8^ROWS)^BANDS = 3 in a million. A candidate counts only if its whole sets of
+shingles say so. Texts of the same words are one text before anything is compared.
+
+Pairs are never rows: a bucket's members meet in one task, tile by tile if they are many, and leave as the links of a
+spanning forest. First only sketches meet, to see who needs the exact sets; then the sets of those.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, by_batch, settled
-from .simhash import components
+from . import simhash
+from .common import arrow_limits, by_batch, release, settled
 
 #: Words of a shingle; the least similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
 BANDS, ROWS = 24, 4
+#: Equal minima of BANDS * ROWS from which a pair's sets are compared. A pair at 0.8 has 77 on average and fewer than
+#: this in 5 of a million cases.
+LIKELY = 58
+#: Members of a bucket that meet in a task, and bytes of sets; beyond either a bucket is cut into tiles of two slices.
+SLICE, SLICE_BYTES = 512, 16 << 20
 _CHUNK = 1 << 12
 _DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _FLIPS, _FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
+#: The slice number of a candidate pair of fingerprints: its two members are compared whatever their sketches say.
+PAIR = -1
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,96 +53,207 @@ def shingles(text: str | None) -> frozenset[bytes]:
     return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))) if w else frozenset()
 
 
-def similar(a: frozenset[bytes], b: frozenset[bytes]) -> bool:
-    both = len(a & b)
+def hashes(text: str | None) -> np.ndarray:
+    """The set of shingles as sorted 64-bit hashes."""
+    return np.sort(np.frombuffer(b"".join([xxhash.xxh64_digest(x) for x in shingles(text)]), np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes have the least similarity. Empty sets have none."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) * SIMILAR[1] < SIMILAR[0] * len(b) or not len(a):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
-def band_keys(text: str | None) -> list[int]:
-    """The text's BANDS keys; none without words."""
-    every = shingles(text)
-    if not every:
-        return []
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(x) for x in every]), np.uint64)
+def sketch(text: str | None) -> tuple[list[int], bytes]:
+    """The text's BANDS keys and the last byte of each minimum; none without words."""
+    every = hashes(text)
+    if not len(every):
+        return [], b""
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for k in range(0, len(hashes), _CHUNK):
-        least = np.minimum(least, ((hashes[k : k + _CHUNK] ^ _FLIPS) * _FACTORS).min(axis=1))
+    for k in range(0, len(every), _CHUNK):
+        least = np.minimum(least, ((every[k : k + _CHUNK] ^ _FLIPS) * _FACTORS).min(axis=1))
     raw, step = least.tobytes(), 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, by the whole texts (print, text)."""
-    # Settled: then Spark can split the rows of a print that is in many pairs in either join.
-    left = settled(pairs.join(texts.select(F.col("print").alias("a"), F.col("text").alias("a_text")), "a"), "left")
-    both = left.join(texts.select(F.col("print").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    arrow_limits(both.sparkSession)
+    keys = np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
+    return keys, least.astype(np.uint8).tobytes()
+
+
+def candidates(bucket: int, low: int, keys: np.ndarray, sigs: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal minima) of the pairs of a tile that need their sets compared. A pair that shares several buckets
+    counts in the first of its keys; members with equal values in a column of apart do not meet, where it has two."""
+    n, found = len(keys), []
+    split = [c for c in apart.T if (c != c[0]).any()]
+    for i in range(n - 1):
+        rest = slice(i + 1, n)
+        equal = (sigs[rest] == sigs[i]).sum(axis=1)
+        if low == PAIR:
+            ok = np.ones(n - i - 1, bool)
+        else:
+            ok = equal >= LIKELY
+            if not ok.any():
+                continue
+            ok &= keys[i, (keys[rest] == keys[i]).argmax(axis=1)] == bucket
+        for c in split:
+            ok &= c[rest] != c[i]
+        j = np.flatnonzero(ok)
+        found.append((np.full(len(j), i), j + i + 1, equal[j]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def _members(column: pa.ListArray) -> Iterator[tuple]:
+    """For each tile of a batch: its prints, keys, signatures and slices, and its sets if it has them."""
+    marks = column.offsets.to_pylist()
+    all_ = column.flatten()
+    base = marks[0]
+    prints = all_.field("print").to_pylist()
+    keys = all_.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    sigs = np.frombuffer(b"".join(all_.field("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    apart = np.stack([all_.field(c).to_numpy(zero_copy_only=False) for c in ("side", "half")], axis=1)
+    sets = all_.field("set").to_pylist() if all_.type.get_field_index("set") >= 0 else None
+    for a, b in zip(marks[:-1], marks[1:], strict=True):
+        s = slice(a - base, b - base)
+        yield prints[s], keys[s], sigs[s], apart[s], sets[s] if sets else None
+
+
+_TILE = ["bucket", "low", "high"]
+_SKETCHED = "bucket long, low int, high int, side int, print binary, keys array<long>, sig binary"
+
+
+def _involved(tiles: DataFrame) -> DataFrame:
+    """The members (_SKETCHED) of some candidate pair of their tile."""
+    arrow_limits(tiles.sparkSession)
+    names = [c.split()[0] for c in _SKETCHED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = functools.lru_cache(maxsize=64)(shingles)
         for batch in batches:
-            hit = [similar(cut(x), cut(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit, pa.bool_())) for k in (0, 1)], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            column, picked, whose = batch.column(3), [], []
+            places = zip(*(batch.column(k).to_pylist() for k in range(2)), column.offsets.to_pylist(), _members(column), strict=False)
+            for row, (bucket, low, at, (_, keys, sigs, apart, _)) in enumerate(places):
+                i, j, _ = candidates(bucket, low, keys, sigs, apart)
+                some = np.unique(np.concatenate([i, j]))
+                picked.append(some + at - column.offsets[0].as_py())
+                whose.append(np.full(len(some), row))
+            at, rows = np.concatenate(picked), pa.array(np.concatenate(whose))
+            chosen = column.flatten().take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), *(chosen.field(c) for c in names[3:])], names)
+
+    return tiles.mapInArrow(run, _SKETCHED)
+
+
+def _linked(tiles: DataFrame) -> DataFrame:
+    """(a, b): for each tile a forest of its similar pairs, most alike pairs first; at most one link a member."""
+    arrow_limits(tiles.sparkSession)
 
-    return settled(both.mapInArrow(run, "a binary, b binary"), "verified")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out: list[tuple[bytes, bytes]] = []
+            for bucket, low, (prints, keys, sigs, apart, sets) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _members(batch.column(3)), strict=True):
+                i, j, equal = candidates(bucket, low, keys, sigs, apart)
+                whole = [np.frombuffer(s, np.uint64) for s in sets]
+                root = list(range(len(prints)))
+                for k in np.argsort(-equal, kind="stable").tolist():
+                    p, q = int(i[k]), int(j[k])
+                    while root[p] != p:
+                        root[p] = p = root[root[p]]
+                    while root[q] != q:
+                        root[q] = q = root[root[q]]
+                    if p != q and similar(whole[i[k]], whole[j[k]]):
+                        root[max(p, q)] = min(p, q)
+                        out.append((prints[i[k]], prints[j[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.binary()), pa.array([max(x) for x in out], pa.binary())], ["a", "b"])
+
+    return tiles.mapInArrow(run, "a binary, b binary")
+
+
+def _gathered(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row a tile with at least two members. By hash of its keys, in more parts than a session's: tiles differ in size."""
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("members")).where(F.size("members") > 1).select("bucket", "low", "high", "members")
+
+
+def _sliced(parts: Column, salt: int) -> tuple[Column, Column]:
+    """(slice of a print, the slices it meets) for a number of slices."""
+    own = F.pmod(F.xxhash64("print", F.lit(salt)), parts).cast("int")
+    return own, F.sequence(F.lit(0), (parts - 1).cast("int"))
 
 
 def links(owners: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b): verified links that have the components of all similar candidate pairs. owners: (print, keys).
+    """(a, b): verified links between prints that have the components of all similar candidate pairs.
 
-    Each bucket's members are first compared with its smallest, then with its largest member, which joins a large
-    group by a number of pairs that grows with its size; then every pair of a bucket that is still in two components.
+    owners: (print, keys, sig, fp). A bucket over SLICE members, or with over SLICE_BYTES of sets, is cut into tiles.
     """
+    shuffles = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = owners.select("print", F.explode("keys").alias("bucket"))
-    buckets = settled(keyed.groupBy("bucket").agg(F.sort_array(F.collect_list("print")).alias("prints")).where(F.size("prints") > 1), "buckets")
-    members = settled(buckets.select("bucket", F.explode("prints").alias("print")), "members")
-    wanted = settled(members.select("print").distinct(), "wanted")
-
+    counts = settled(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    members = settled(keyed.join(counts, "bucket").select("bucket", "n", "print"), "members")
+    parts = F.ceil(F.col("n") / float(SLICE))
+    own, met = _sliced(parts, 1)
+    placed = members.join(owners.select("print", "keys", "sig"), "print").withColumn("own", own).withColumn("met", F.explode(met))
+    tiled = placed.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), F.when(F.col("own") > F.col("met"), 1).otherwise(0).alias("side"), F.lit(0).alias("half"), "print", "keys", "sig")
+    banded = _involved(_gathered(tiled, _TILE, ["side", "half", "print", "keys", "sig"]).repartition(shuffles))
+    needed = settled(banded.unionByName(_by_fingerprint(owners)), "needed")
+    release(counts, members)
+
+    sets = settled(_sets(docs, needed.select("print").distinct(), text), "sets")
+    sizes = needed.join(sets.select("print", F.length("set").alias("bytes")), "print").groupBy(*_TILE).agg(F.ceil(F.sum("bytes") / float(SLICE_BYTES)).alias("parts"))
+    own, met = _sliced(F.col("parts"), 2)
+    full = needed.join(sets, "print").join(settled(sizes, "sizes"), _TILE).withColumn("own", own).withColumn("met", F.explode(met))
+    full = full.withColumn("a", F.least("own", "met")).withColumn("b", F.greatest("own", "met")).withColumn("half", F.when(F.col("own") > F.col("met"), 1).otherwise(0))
+    found = settled(_linked(_gathered(full, [*_TILE, "a", "b"], ["side", "half", "print", "keys", "sig", "set"]).repartition(shuffles)).distinct(), "found")
+    release(needed, sets)
+    return found
+
+
+def _by_fingerprint(owners: DataFrame) -> DataFrame:
+    """Members (_SKETCHED) of the candidate pairs of fingerprints: each print with the least of its fingerprint, and
+    the least ones of two fingerprints that are within simhash.DISTANCE bits."""
+    some = owners.where(F.size("keys") > 0)
+    reps = settled(some.groupBy("fp").agg(F.min("print").alias("rep")), "reps")
+    alike = some.select("print", "fp").join(reps, "fp").where("print != rep").select(F.col("rep").alias("x"), F.col("print").alias("y"))
+    near = simhash.links(reps)
+    apart = near.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select("x", "y")
+    pairs = settled(alike.unionByName(apart), "pairs").select(F.xxhash64("x", "y").alias("bucket"), F.explode(F.array("x", "y")).alias("print"))
+    return pairs.join(owners.select("print", "keys", "sig"), "print").select("bucket", F.lit(PAIR).alias("low"), F.lit(PAIR).alias("high"), F.lit(0).alias("side"), "print", "keys", "sig")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(print, set) of the wanted prints: the sorted hashes of the whole text's shingles."""
     identity_of = F.udf(identity, "binary", useArrow=True)
-    held = settled(docs.select(identity_of(F.col(text)).alias("print"), F.col(text).alias("text")).join(wanted, "print", "left_semi"), "held")
-    texts = settled(held.groupBy("print").agg(F.min("text").alias("text")), "texts")
-
-    def stars(at: int) -> DataFrame:
-        ends = buckets.select(F.element_at("prints", at).alias("pivot"), F.explode("prints").alias("other")).where("pivot != other")
-        return ends.select(F.least("pivot", "other").alias("a"), F.greatest("pivot", "other").alias("b")).distinct()
-
-    tested = settled(stars(1), "first")
-    found = _verified(tested, texts)
-    roots = components(found).withColumnRenamed("node", "print")
-    more = settled(_apart(settled(stars(-1).join(tested, ["a", "b"], "left_anti"), "last"), roots), "last")
-    found = found.unionByName(_verified(more, texts))
-    tested = tested.unionByName(more)
-
-    rooted = settled(members.join(settled(components(found).withColumnRenamed("node", "print"), "roots"), "print", "left").select("bucket", "print", F.coalesce("root", "print").alias("root")), "rooted")
-    mixed = settled(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "mixed")
-    left = settled(rooted.join(mixed, "bucket", "left_semi"), "open")
-    x, y = left.toDF("bucket", "a", "ra"), left.toDF("bucket", "b", "rb")
-    rest = settled(x.join(y, "bucket").where("a < b and ra != rb").select("a", "b"), "rest")
-    return found.unionByName(_verified(settled(rest.distinct().join(tested, ["a", "b"], "left_anti"), "rest"), texts))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component yet."""
-    roots = settled(roots, "roots")
-    out = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    return out.where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
+    held = docs.select(identity_of(F.col(text)).alias("print"), F.col(text).alias("text")).join(wanted, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
+    return by_batch(held, {"print": pa.binary(), "set": pa.binary()}, "print binary, set binary", lambda prints, texts: [prints, [hashes(x).tobytes() for x in texts]])
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, print, component_id) for every row: component_id is the smallest key reachable over links of near copies.
+    """(key, print, group, component_id) for every row: group is the least print reachable over links of near copies,
+    component_id the smallest key in the group.
 
-    Rows with null keys are kept and never name a component that has other keys; repeated rows are kept each.
+    Null and blank texts are one text without words and have no near copies but each other. Rows with null keys are
+    kept and never name a group that has other keys; repeated rows are kept each. Other columns take no part; an empty
+    table gives an empty one.
     """
 
     def work(keys: list, texts: list) -> list:
-        return [keys, [identity(x) for x in texts], [band_keys(x) for x in texts]]
-
-    columns = {key: pa.int64(), "print": pa.binary(), "keys": pa.list_(pa.int64())}
-    prints = settled(by_batch(docs.select(F.col(key).cast("long"), text), columns, f"{key} long, print binary, keys array<long>", work), "prints")
-    owners = settled(prints.groupBy("print").agg(F.min(key).alias("first"), F.min("keys").alias("keys")), "owners")
-    found = components(links(owners, docs, text))
-    rooted = settled(owners.select("print", "first").join(found.withColumnRenamed("node", "print"), "print"), "rooted")
-    low = rooted.groupBy("root").agg(F.min("first").alias("low"))
-    named = rooted.join(low, "root").select("print", "low")
-    ids = settled(owners.join(named, "print", "left").select("print", F.coalesce("low", "first").alias("component_id")), "ids")
-    return prints.select(key, "print").join(ids, "print").select(key, "print", "component_id")
+        made = [sketch(x) for x in texts]
+        prints = np.array([simhash.fingerprint(x, SHINGLE) for x in texts], np.uint64).view(np.int64)
+        return [keys, [identity(x) for x in texts], [m[0] for m in made], [m[1] for m in made], prints]
+
+    columns = {key: pa.int64(), "print": pa.binary(), "keys": pa.list_(pa.int64()), "sig": pa.binary(), "fp": pa.int64()}
+    made = settled(by_batch(docs.select(F.col(key).cast("long"), text), columns, f"{key} long, print binary, keys array<long>, sig binary, fp long", work), "made")
+    owners = settled(made.groupBy("print").agg(F.min(key).alias("first"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("fp").alias("fp")), "owners")
+    prints = settled(made.select(key, "print"), "prints")
+    release(made)
+    found = simhash.components(links(owners, docs, text)).withColumnRenamed("node", "print")
+    rooted = owners.select("print", "first").join(found, "print", "left").select("print", "first", F.coalesce("root", "print").alias("group"))
+    rooted = settled(rooted, "rooted")
+    release(owners)
+    low = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
+    ids = rooted.join(low, "group").select("print", "group", "component_id")
+    return prints.join(ids, "print").select(key, "print", "group", "component_id")
