@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm import bpe, mixing, near_copies, quality
-from sparkweft.llm.common import settled, table
+from sparkweft.llm.common import release, settled, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +24,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more): the one with the smallest doc_id.
 
-    Rows with a null doc_id have no name to be chosen by: such a row stays only where its group has no other, once per
-    text. Of repeated rows one stays.
+    Candidates are those of the SimHash operator's Golay tables and of MinHash bands; whole sets of shingles decide. Of
+    repeated rows of a doc_id the group keeps one. Rows with a null doc_id have no name to be chosen by: such a row
+    stays only where its group has no other, once a group.
     """
     found = near_copies.near_copies(docs)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    nameless = found.where("doc_id is null and component_id is null").select(F.col("print").alias("__keep_print")).distinct()
+    first = found.where("doc_id = component_id or component_id is null").groupBy("group").agg(F.min("doc_id").alias("__keep_id"), F.min("print").alias("__keep_print"), F.count(F.lit(1)).alias("rows"))
+    chosen = settled(first, "chosen")
     columns = docs.columns
-    named = docs.join(chosen, F.col("doc_id") == F.col("__keep_id"), "left_semi").dropDuplicates(["doc_id"])
-    rest = docs.where("doc_id is null")
-    if rest.limit(1).count():
-        prints = rest.withColumn("__keep_print", F.udf(near_copies.identity, "binary", useArrow=True)(F.col("text")))
-        named = named.unionByName(prints.join(nameless, "__keep_print", "left_semi").dropDuplicates(["__keep_print"]).select(*columns))
-    return named.select(*columns)
+    if chosen.where("rows > 1 or __keep_id is null").limit(1).isEmpty() and chosen.groupBy("__keep_id").count().where("count > 1").limit(1).isEmpty():
+        return docs.join(chosen.select("__keep_id"), docs["doc_id"] == F.col("__keep_id"), "left_semi").select(*columns)
+    # Some ids are repeated or null: then the text says which rows are meant, and one row of each group is taken.
+    prints = docs.withColumn("__print", F.udf(near_copies.identity, "binary", useArrow=True)(F.col("text")))
+    meant = prints.join(chosen, prints["doc_id"].eqNullSafe(F.col("__keep_id")) & (F.col("__print") == F.col("__keep_print")))
+    one = meant.groupBy("group").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
+    return one.select("__row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
