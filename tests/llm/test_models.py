@@ -73,6 +73,11 @@ def test_topk_odd_rows(spark):
     rows += [(401, None), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] + [1.0] * 5), (None, [9.0] * 6), (405, [3.0]), (406, []), (407, rows[0][1]), (408, rows[0][1]), (500, [1e6] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(df).collect()} == brute(rows)
+    clash = df.selectExpr("*", "vec_id AS key", "'x' AS v", "1 AS cell", "2 AS ids", "3 AS rank").repartition(5)
+    assert {tuple(r) for r in topk.top_k(clash).collect()} == brute(rows)
+    twice = spark.createDataFrame([*rows[:50], (0, [5.0] * 6), (7, rows[7][1])], "vec_id long, embedding array<double>")
+    a, b = (sorted(map(tuple, topk.top_k(twice.repartition(n)).collect())) for n in (1, 6))
+    assert a == b and len(a) == 10
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in topk.top_k(few).collect()} == brute(rows[:4])
     assert topk.top_k(df.limit(0)).count() == 0
@@ -86,6 +91,26 @@ def test_blocks_are_pruned():
     assert best[0].tolist() == [i for _, i in want] and scores[0].tolist() == [-s for s, _ in want] and scored < 60
 
 
+def test_most_blocks_are_pruned_whatever_the_order_of_ids():
+    """Clustered vectors in random order: rows are put into blocks by likeness, and a first pass gives a threshold."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(100, 64)) * 300
+    rows = (centres[rng.integers(0, 100, 12_800)] + rng.normal(size=(12_800, 64)) * 30).astype(np.int64)
+    ids, asked = np.arange(12_800), rng.choice(12_800, 40, replace=False)
+    seeds = rng.choice(12_800, 1000, replace=False)
+    blind = topk.Range(ids, rows).search(asked, rows[asked], 10)
+    least = topk.least_scores(asked, rows[asked], seeds, rows[seeds], 10)
+    best, scores, scored = topk.Range(ids, rows).search(asked, rows[asked], 10, least)
+    for q, a in enumerate(asked.tolist()):
+        want = sorted((-int(s), i) for i, s in enumerate(rows @ rows[a]) if i != a)[:10]
+        assert best[q].tolist() == [i for _, i in want] and scores[q].tolist() == [-s for s, _ in want]
+    blocks = 40 * -(-12_800 // topk.BLOCK)
+    assert scored <= blind[2] and scored < 0.15 * blocks
+    # Four ranges, with 32 rows of a cluster each: blocks of no more rows, and the threshold shared.
+    split = [topk.Range(ids[k::4], rows[k::4], 16).search(asked, rows[asked], 10, least)[2] for k in range(4)]
+    assert sum(split) < 0.3 * 40 * 4 * 200
+
+
 # --- op9 --------------------------------------------------------------------------------------------------------------
 
 
