@@ -1,96 +1,114 @@
 """Hashed maximum-entropy language model with a class-factored softmax, beside a smoothed unigram base.
 
-The most frequent words are model words, in classes of equal number by frequency; all other words, known or not, form
-a few kinds by their look. log P(token | before) = log P(class | before) + log P(word | class, before). The first
-factor is a softmax over classes, the second one over a class's words, each a log-linear model on the last word, the
-word before it (a skip) and both together, hashed into rows of weights, with the corpus frequencies as its default
-distribution. A word of a kind has its smoothed share of the kind's count. Probabilities sum to one.
+Every word that occurs often enough has a place in a tree of three levels, so the vocabulary grows with the corpus, and
+with it the width of the softmaxes and the rows of weights. log P(token | before) is the sum of a softmax over classes,
+one over a class's parts and one over a part's words: log-linear models on the last word, for classes and parts also on
+the word before it (a skip), for classes on both together, hashed into rows of weights, with the corpus frequencies as
+default distribution. Rarer words form a few kinds by their look: a kind is a class, predicted like any other, and a word has
+its smoothed share of the kind's count. As context all words of the head stand for themselves. Probabilities sum to one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, settled
+from .common import arrow_limits, release, settled
 
 FOLDS, SMOOTH = 10, 0.1
 #: The token that ends a document: no word holds a space.
-END = b" "
+END = " "
 #: Words whose counts every worker holds, at most, and their longest: a bound on what is sent. All others are joined.
-HEAD, HEAD_BYTES = 1 << 16, 64
-#: Kinds of other words; classes in all (a kind is a class of its own); words in each further class.
-KINDS, CLASSES, MEMBERS = 6, 64, 32
-MODEL_WORDS = (CLASSES - KINDS) * MEMBERS
-#: Ids: kinds, then model words, then the start of a document. Rows of weights by feature, powers of two.
-START = KINDS + MODEL_WORDS
-ID_ROWS, PAIR_ROWS, WORD_ROWS = 2048, 4096, 4096
-#: Rounds of training (each takes its own share of the documents), tokens of an update, learning rate.
-ROUNDS, UPDATE, RATE = 4, 8192, 0.3
-#: Distinct words that a worker counts up before it hands them on; pieces that weights are summed in.
-COUNTED, PIECES = 200_000, 128
-_PUNCTUATION, _SYMBOLS = frozenset(b".,:;!?\"')"), frozenset(b"*$&%#|+=<>/\\_-@")
+HEAD, HEAD_BYTES = 1 << 18, 64
+#: Occurrences from which a word of the head has a place of its own in the tree; kinds of other words.
+MODEL_COUNT, KINDS = 64, 6
+#: Rounds of training (each takes its own share of the documents), tokens of an update, learning rate, largest weight.
+ROUNDS, UPDATE, RATE, LARGEST = 4, 4096, 0.3, 12.0
+#: Tokens of a slice, about: what one task learns from in a round. Slices go by the data alone, never by the cluster.
+SLICE_TOKENS = 1 << 21
+#: Rows of distinct words that a worker gathers before it adds them up; pieces that weights are summed in.
+COUNTED, PIECES = 600_000, 64
+_PUNCTUATION, _SYMBOLS = np.zeros(256, bool), np.zeros(256, bool)
+_PUNCTUATION[list(b".,:;!?\"')")] = True
+_SYMBOLS[list(b"*$&%#|+=<>/\\_-@")] = True
 
 
-def words(text: str | None) -> list[bytes]:
-    """The tokens of a document: lower-cased words (A-Z only), then the end."""
-    return [*(text or "").encode().lower().split(), END]
+def held_out(doc_id: Column) -> Column:
+    """crc32(doc_id as text) mod FOLDS is 0; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def kind(word: bytes) -> int:
-    last = word[-1]
-    return (0 if word.isascii() else 3) + (1 if last in _PUNCTUATION else 2 if last in _SYMBOLS else 0)
+# --- words ----------------------------------------------------------------------------------------------------------
 
 
-def held_out(doc_id: Column) -> Column:
-    """crc32(doc_id as text) mod FOLDS is 0; a null id is not held out."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words in a row, words of each text): lower-cased (A-Z only), cut at ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+    sizes = np.add.reduceat(real.to_numpy(zero_copy_only=False).astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    return flat.filter(real), sizes
 
 
-# --- counts ---------------------------------------------------------------------------------------------------------
+def kinds(found: pa.Array) -> np.ndarray:
+    """The kind of each word: ASCII or not, and what its last byte is."""
+    if not len(found):
+        return np.zeros(0, np.int32)
+    found = pa.concat_arrays([found.cast(pa.string())])  # offsets from 0
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset + 1 : found.offset + len(found) + 1]
+    last = np.frombuffer(found.buffers()[2], np.uint8)[ends - 1]
+    ascii_ = pc.string_is_ascii(found).to_numpy(zero_copy_only=False)
+    return (np.where(ascii_, 0, 3) + np.where(_PUNCTUATION[last], 1, np.where(_SYMBOLS[last], 2, 0))).astype(np.int32)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, kind, n) over every whole text of docs (column text), the end counted as a word."""
     arrow_limits(docs.sparkSession)
 
+    def added(tables: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+        word = t["word"].combine_chunks() if t.num_rows else pa.array([], pa.string())
+        return pa.RecordBatch.from_arrays([word.cast(pa.binary()), pa.array(kinds(word), pa.int32()), pa.concat_arrays(t["n_sum"].chunks) if t.num_rows else pa.array([], pa.int64())], ["word", "kind", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        rows = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-                if len(seen) > COUNTED:
-                    yield _counted(seen)
-                    seen = Counter()
-        if seen:
-            yield _counted(seen)
+            if not batch.num_rows:
+                continue
+            seen = words(batch.column(0))[0].value_counts()
+            held.append(pa.table({"word": pa.concat_arrays([seen.field("values"), pa.array([END])]), "n": pa.concat_arrays([seen.field("counts"), pa.array([batch.num_rows], pa.int64())])}))
+            rows += len(seen)
+            if rows > COUNTED:
+                yield added(held)
+                held, rows = [], 0
+        if held:
+            yield added(held)
 
     return docs.select("text").mapInArrow(run, "word binary, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([kind(w) for w in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["word", "kind", "n"])
-
-
 @dataclass
 class Lexicon:
-    """The head of the counts by falling count, and totals: tokens, distinct words, and by kind of the words outside
-    the model."""
+    """The head of the counts by falling count, how many of its words are in the tree, and totals: tokens, distinct
+    words, and by kind of the words outside the tree."""
 
-    head: list[bytes]
+    head: pa.Array
     counts: np.ndarray
     kinds: np.ndarray
+    placed: int
     tokens: int
     distinct: int
     kind_tokens: np.ndarray
     kind_words: np.ndarray
-    least: int
 
     @property
     def base_log(self) -> float:
@@ -100,6 +118,17 @@ class Lexicon:
     def kind_logs(self) -> np.ndarray:
         return np.log10(self.kind_tokens + SMOOTH * (self.kind_words + 1))
 
+    @property
+    def side(self) -> int:
+        """Classes, parts of a class and words of a part: the least number whose cube holds all placed words."""
+        side = max(2, math.floor(round(self.placed ** (1 / 3), 6)))
+        return side + (side**3 < self.placed)
+
+    @property
+    def start(self) -> int:
+        """The id of what comes before a document. Ids: kinds, then the head by falling count, then this."""
+        return KINDS + len(self.head)
+
 
 def lexicon(counts: DataFrame) -> Lexicon:
     """The head is every word of at most HEAD_BYTES whose count reaches a limit that at most HEAD words reach; the
@@ -113,216 +142,265 @@ def lexicon(counts: DataFrame) -> Lexicon:
             break
         room, least_level = room - row["words"], row["level"]
     in_head = short & (level >= least_level)
-    head = sorted(counts.where(in_head).select("word", "kind", "n").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    rest = counts.where(~in_head).groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
-    kind_tokens, kind_words = np.zeros(KINDS), np.zeros(KINDS)
-    for r in rest:
+    head = counts.where(in_head).select("word", "kind", "n").toArrow().combine_chunks().sort_by([("n", "descending"), ("word", "ascending")])
+    n, kind = head["n"].to_numpy(), head["kind"].to_numpy()
+    placed = int((n >= MODEL_COUNT).sum())
+    kind_tokens, kind_words = np.bincount(kind[placed:], n[placed:], KINDS), np.bincount(kind[placed:], minlength=KINDS).astype(float)
+    tokens, distinct = int(n.sum()), len(n)
+    for r in counts.where(~in_head).groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
         kind_tokens[r["kind"]] += r["n"]
         kind_words[r["kind"]] += r["words"]
-    tokens, distinct = int(kind_tokens.sum()) + sum(r["n"] for r in head), int(kind_words.sum()) + len(head)
-    for r in head[MODEL_WORDS:]:
-        kind_tokens[r["kind"]] += r["n"]
-        kind_words[r["kind"]] += 1
-    return Lexicon([bytes(r["word"]) for r in head], np.array([r["n"] for r in head], np.int64), np.array([r["kind"] for r in head], np.int64), tokens, distinct, kind_tokens, kind_words, least_level)
+        tokens, distinct = tokens + r["n"], distinct + r["words"]
+    word = pa.concat_arrays(head["word"].chunks).cast(pa.binary()) if len(n) else pa.array([], pa.binary())
+    return Lexicon(word, n, kind.astype(np.int32), placed, tokens, distinct, kind_tokens, kind_words)
 
 
 # --- documents as ids -----------------------------------------------------------------------------------------------
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, head_log double, other_log double, ids binary, tail array<struct<word:binary,tf:int>>"
+ENCODED = "row long, doc_id long, held_out boolean, place long, n_tokens long, n_known long, head_log double, other_log double, ids binary, tail array<binary>"
 
 
 def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """Every row's ids (uint16), what the head's counts give of its scores, and the words outside the head."""
+    """Every row's ids (int32), what the head's counts give of its scores, and the words outside the head. place is a
+    hash of id and text: where the row stands in training, whatever the partitions."""
     arrow_limits(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lex)
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
+    names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        place = {w: i for i, w in enumerate(lex.head)}
         size = len(lex.head)
         logs = np.append(np.log10(lex.counts + SMOOTH), 0.0)
-        ids = np.append(np.where(np.arange(size) < MODEL_WORDS, np.arange(size) + KINDS, lex.kinds), 0).astype(np.uint16)
-        other = np.where(ids < KINDS, logs, 0.0)
+        other = np.where(np.arange(size + 1) < lex.placed, 0.0, logs)
+        end = pc.index_in(pa.array([END.encode()], pa.binary()), value_set=lex.head)[0].as_py()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for text in batch.column(3).to_pylist():
-                tokens = words(text)
-                at = np.array([place.get(w, size) for w in tokens])
-                own = ids[at]
-                far = np.flatnonzero(at == size)
-                rare = [tokens[i] for i in far.tolist()]
-                own[far] = [kind(w) for w in rare]
-                for column, value in zip(out, (len(tokens), len(tokens) - len(rare), float(logs[at].sum()), float(other[at].sum()), own.tobytes(), [{"word": w, "tf": n} for w, n in Counter(rare).items()]), strict=True):
-                    column.append(value)
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), tail_type), strict=True))], [x.split()[0] for x in ENCODED.split(", ")])
-
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, ENCODED)
+            if not batch.num_rows:
+                continue
+            found, sizes = words(batch.column(4))
+            ends = np.cumsum(sizes)
+            at = pc.index_in(found.cast(pa.binary()), value_set=lex.head)
+            rare = at.is_null()
+            at = pc.fill_null(at, size).to_numpy(zero_copy_only=False).astype(np.int64)
+            far = found.filter(rare)
+            ids = at + KINDS
+            is_rare = rare.to_numpy(zero_copy_only=False)
+            ids[is_rare] = kinds(far)
+            ids = np.insert(ids, ends, KINDS + end if end is not None else 0).astype(np.int32)
+            at = np.insert(at, ends, end if end is not None else size)
+            sizes = sizes + 1
+            starts = np.cumsum(sizes) - sizes
+            few = np.add.reduceat(np.insert(is_rare, ends, False).astype(np.int64), starts)
+            known = sizes - few - (end is None)
+            tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), far.cast(pa.binary()))
+            raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * np.concatenate([[0], np.cumsum(sizes)])).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            sums = [pa.array(np.add.reduceat(x[at], starts)) for x in (logs, other)]
+            if end is None:  # nothing to learn from: the end is an unknown word
+                sums = [pa.array(s.to_numpy() + np.log10(SMOOTH)) for s in sums]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(sizes), pa.array(known), *sums, raw, tails], names)
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(run, ENCODED)
 
 
 # --- the model ------------------------------------------------------------------------------------------------------
 
-
-def shapes() -> list[tuple[int, int]]:
-    """Weights of the class factor (last, skip, both), then of the word factor (class with last class, last, skip)."""
-    return [(ID_ROWS, CLASSES), (ID_ROWS, CLASSES), (PAIR_ROWS, CLASSES), (CLASSES * CLASSES, MEMBERS), (WORD_ROWS, MEMBERS), (WORD_ROWS, MEMBERS)]
-
-
-N_WEIGHTS = sum(a * b for a, b in shapes())
+_MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
 class Model:
     def __init__(self, lex: Lexicon, weights: np.ndarray | None = None) -> None:
-        n = np.zeros(MODEL_WORDS)
-        n[: min(len(lex.counts), MODEL_WORDS)] = lex.counts[:MODEL_WORDS]
-        by_class = np.concatenate([lex.kind_tokens + SMOOTH, n.reshape(-1, MEMBERS).sum(axis=1)])
-        with np.errstate(divide="ignore"):
-            self.class_log = np.maximum(np.log(by_class / max(by_class.sum(), 1e-9)), -80).astype(np.float32)
-            # A place without a word keeps no probability that could be missed.
-            self.word_log = np.maximum(np.log(n.reshape(-1, MEMBERS) / np.maximum(n.reshape(-1, MEMBERS).sum(axis=1, keepdims=True), 1e-9)), -80).astype(np.float32)
-        self.flat = np.zeros(N_WEIGHTS, np.float32) if weights is None else weights.copy()
+        s = self.side = lex.side
+        self.lex, self.bits = lex, self.row_bits(s)
+        n = np.zeros(s**3)
+        n[: lex.placed] = lex.counts[: lex.placed]
+        self.class_log = self._share(np.concatenate([lex.kind_tokens + SMOOTH, n.reshape(s, -1).sum(axis=1)])[None, :])[0]
+        self.part_log = self._share(n.reshape(s * s, s).sum(axis=1).reshape(s, s))
+        self.word_log = self._share(n.reshape(s * s, s))
+        self.flat = np.zeros(self.n_weights(lex), np.float32) if weights is None else weights.copy()
         self.tables, at = [], 0
-        for a, b in shapes():
+        for a, b in self.shapes(lex):
             self.tables.append(self.flat[at : at + a * b].reshape(a, b))
             at += a * b
 
     @staticmethod
-    def features(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """(class, place in it, rows of the class factor, rows of the word factor) of every token of joined documents."""
-        ids = ids.astype(np.int32)
+    def row_bits(side: int) -> int:
+        """Rows of a table as a power of two: about 64 for each class."""
+        return math.ceil(math.log2(64 * side))
+
+    @classmethod
+    def shapes(cls, lex: Lexicon) -> list[tuple[int, int]]:
+        """Tables of the class factor (last, skip, both), of the part factor (last, skip) and of the word factor (last)."""
+        rows, s = 1 << cls.row_bits(lex.side), lex.side
+        return [(rows, KINDS + s)] * 3 + [(rows, s)] * 3
+
+    @classmethod
+    def n_weights(cls, lex: Lexicon) -> int:
+        return sum(a * b for a, b in cls.shapes(lex))
+
+    @staticmethod
+    def _share(n: np.ndarray) -> np.ndarray:
+        """Logs of shares of the rows' sums. A place without a word keeps no probability that could be missed."""
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(n / np.maximum(n.sum(axis=1, keepdims=True), 1e-9)), -60).astype(np.float32)
+
+    def _hash(self, *parts: np.ndarray) -> np.ndarray:
+        mixed = parts[0].astype(np.uint32) * _MIX[0]
+        for p, m in zip(parts[1:], _MIX[1:], strict=False):
+            mixed = (mixed ^ mixed >> np.uint32(15)) + p.astype(np.uint32) * m
+        return ((mixed ^ mixed >> np.uint32(13)) * _MIX[2] >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple:
+        """(class, rank in the tree or -1, rows of the class factor, of the part factor and of the word factor) of
+        every token of joined documents; the last two only where the rank counts."""
+        lex, s = self.lex, self.side
         last, skip = np.empty_like(ids), np.empty_like(ids)
         last[1:], skip[2:] = ids[:-1], ids[:-2]
-        last[starts], skip[starts] = START, START
-        second = starts[starts + 1 < len(ids)] + 1
-        skip[second] = START
-        skip[: min(2, len(ids))] = START
-        klass = np.where(ids < KINDS, ids, KINDS + (ids - KINDS) // MEMBERS)
-        place = np.where(ids < KINDS, 0, (ids - KINDS) % MEMBERS)
-        last_class = np.where(last < KINDS, last, np.minimum(KINDS + (last - KINDS) // MEMBERS, CLASSES - 1))
-        # Multiplicative hashing; the constants are odd and large.
-        pair = (last.astype(np.uint32) * np.uint32(0x9E3779B1) ^ skip.astype(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(20)
-        near = (klass.astype(np.uint32) * np.uint32(0xC2B2AE3D) ^ last.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)
-        far = (klass.astype(np.uint32) * np.uint32(0xC2B2AE3D) ^ skip.astype(np.uint32) * np.uint32(0x27D4EB2F)) >> np.uint32(20)
-        return klass, place, [last, skip, pair], [klass * CLASSES + last_class, near, far]
+        skip[: min(2, len(ids))] = lex.start
+        last[starts] = skip[starts] = lex.start
+        skip[starts[starts + 1 < len(ids)] + 1] = lex.start
+        rank = np.where((ids >= KINDS) & (ids < KINDS + lex.placed), ids - KINDS, -1)
+        klass = np.where(rank >= 0, KINDS + rank // (s * s), np.where(ids < KINDS, ids, lex.kinds[np.clip(ids - KINDS, 0, max(0, len(lex.kinds) - 1))] if len(lex.kinds) else 0))
+        at = np.flatnonzero(rank >= 0)
+        r, x, y = rank[at], last[at], skip[at]
+        part, word = r // (s * s), (r // s) + s  # words of a part have other numbers than parts
+        return klass, rank, [self._hash(last), self._hash(skip), self._hash(last, skip)], [self._hash(part, x), self._hash(part, y + lex.start)], [self._hash(word, x)]
 
     @staticmethod
     def _softmax(scores: np.ndarray) -> np.ndarray:
-        scores -= scores.max(axis=1, keepdims=True)
+        """Weights are bounded (LARGEST), so that no score is too large to be raised."""
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=1, keepdims=True)
+        scores *= 1 / scores.sum(axis=1, keepdims=True)
         return scores
 
-    def _class_p(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.tables[0][rows[0]]
-        z += self.tables[1][rows[1]]
-        z += self.tables[2][rows[2]]
-        z += self.class_log
-        return self._softmax(z)
-
-    def _word_p(self, klass: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.tables[3][rows[0]]
-        z += self.tables[4][rows[1]]
-        z += self.tables[5][rows[2]]
-        z += self.word_log[klass - KINDS]
+    def _p(self, tables: list[np.ndarray], rows: list[np.ndarray], default: np.ndarray) -> np.ndarray:
+        z = tables[0].take(rows[0], axis=0)
+        for t, r in zip(tables[1:], rows[1:], strict=True):
+            z += t.take(r, axis=0)
+        z += default
         return self._softmax(z)
 
-    def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of P(class) and, for model words, P(word | class), for every token."""
-        klass, place, near, far = self.features(ids, starts)
-        out = np.empty(len(ids))
+    def _steps(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
+        """For each UPDATE tokens: where they are, then for each factor its tables' numbers, rows, probabilities, what
+        came and where."""
+        s = self.side
+        klass, rank, near, mid, far = self.features(ids, starts)
+        inside = np.concatenate([[0], np.cumsum(rank >= 0)])
         for k in range(0, len(ids), UPDATE):
-            s = slice(k, k + UPDATE)
-            p = self._class_p([r[s] for r in near])
-            out[s] = np.log10(np.maximum(p[np.arange(len(p)), klass[s]], 1e-30))
-            at = np.flatnonzero(klass[s] >= KINDS)
-            if len(at):
-                q = self._word_p(klass[s][at], [r[s][at] for r in far])
-                out[k + at] += np.log10(np.maximum(q[np.arange(len(q)), place[s][at]], 1e-30))
-        return out
-
-    def learn(self, ids: np.ndarray, starts: np.ndarray, squares: list[np.ndarray]) -> None:
+            a, b = k, min(k + UPDATE, len(ids))
+            i, j = int(inside[a]), int(inside[b])
+            at = np.flatnonzero(rank[a:b] >= 0)
+            r = rank[a:b][at]
+            rows = ([x[a:b] for x in near], [x[i:j] for x in mid], [x[i:j] for x in far])
+            yield a, b, at, rows, (klass[a:b], r // s % s, r % s), (self.class_log, self.part_log[r // (s * s)], self.word_log[r // s])
+
+    def log10(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of P(class) and, for placed words, of P(part | class) and P(word | part), for every token; its class."""
+        out, classes = np.zeros(len(ids)), np.empty(len(ids), np.int64)
+        for a, b, at, rows, came, default in self._steps(ids, starts):
+            classes[a:b] = came[0]
+            for where, first, r, c, d in zip((np.arange(b - a), at, at), (0, 3, 5), rows, came, default, strict=True):
+                if len(c):
+                    p = self._p(self.tables[first : first + len(r)], r, d)
+                    out[a + where] += np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30))
+        return out, classes
+
+    def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
         """One pass of gradient steps over joined documents, each over UPDATE tokens; steps shrink as a weight's
-        gradients add up in squares."""
-        klass, place, near, far = self.features(ids, starts)
-        for k in range(0, len(ids), UPDATE):
-            s = slice(k, k + UPDATE)
-            rows = [r[s] for r in near]
-            g = self._class_p(rows)
-            g[np.arange(len(g)), klass[s]] -= 1
-            at = np.flatnonzero(klass[s] >= KINDS)
-            word_rows = [r[s][at] for r in far]
-            h = self._word_p(klass[s][at], word_rows)
-            h[np.arange(len(h)), place[s][at]] -= 1
-            for table, square, r, grad in zip(self.tables, squares, [*rows, *word_rows], [g, g, g, h, h, h], strict=True):
-                if len(r):
-                    self._step(table, square, r, grad)
+        gradients add up."""
+        squares = [np.zeros_like(t) for t in self.tables]
+        for _, _, _, rows, came, default in self._steps(ids, starts):
+            for first, r, c, d in zip((0, 3, 5), rows, came, default, strict=True):
+                if len(c):
+                    g = self._p(self.tables[first : first + len(r)], r, d)
+                    g[np.arange(len(c)), c] -= 1
+                    for k, x in enumerate(r):
+                        self._step(self.tables[first + k], squares[first + k], x, g)
+        np.clip(self.flat, -LARGEST, LARGEST, out=self.flat)
 
     @staticmethod
     def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(rows.astype(np.uint16), kind="stable")
         ordered = rows[order]
         cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total = np.add.reduceat(grad[order], cuts, axis=0)
+        total = np.add.reduceat(grad.take(order, axis=0), cuts, axis=0)
         where = ordered[cuts]
-        s = square[where]
+        s = square.take(where, axis=0)
         s += total * total
         square[where] = s
-        table[where] -= RATE * total / np.sqrt(s + 1.0)
+        s += 1
+        np.sqrt(s, out=s)
+        total *= RATE
+        total /= s
+        table[where] -= total
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a batch's documents in a row, and where each begins."""
-    raw = [x for x in column.to_pylist() if x]
-    sizes = np.array([len(x) // 2 for x in raw], np.int64)
-    return np.frombuffer(b"".join(raw), np.uint16), np.cumsum(sizes) - sizes
+    """The ids of a column of documents in a row, and where each begins."""
+    raw = column.to_pylist()
+    sizes = np.array([len(x) // 4 for x in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.int32), np.cumsum(sizes) - sizes
 
 
 def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights by iterated averaging: in each round every task starts from the shared weights, takes gradient steps
-    over its part of the round's documents and hands back how the weights moved; moves are averaged by tokens.
+    """Weights by iterated averaging: in each round every slice starts from the shared weights, takes gradient steps
+    over its documents and hands back how the weights moved; moves are averaged by tokens.
 
-    Every document takes part in one round. What is handed back goes by the number of tasks, which is that of the
-    cluster's cores, not by the data; it is summed by pieces of the weights on the executors.
+    Every training document is in one slice of one round. Slices, their documents and the order of these follow from
+    ids and texts, so the weights do not depend on partitions or cluster. A slice is bounded, so a lost task costs
+    little; moves are half-precision and summed by pieces of the weights, in the order of slices, on the executors.
     """
     spark = encoded.sparkSession
     sc = spark.sparkContext
     arrow_limits(spark)
-    weights = np.zeros(N_WEIGHTS, np.float32)
-    piece = -(-N_WEIGHTS // PIECES)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = Model.n_weights(lex)
+    weights, piece = np.zeros(n, np.float32), -(-n // PIECES)
+    slices = max(1, -(-lex.tokens // (rounds * SLICE_TOKENS)))
+    number = F.pmod("place", F.lit(rounds * slices))
     for r in range(rounds):
         shared = sc.broadcast((lex, weights))
 
         def moved(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            lex, before = shared.value
-            model, tokens = Model(lex, before), 0
-            squares = [np.zeros_like(t) for t in model.tables]
-            for batch in batches:
-                ids, starts = _joined(batch.column(0))
-                if len(ids):
-                    model.learn(ids, starts, squares)
-                    tokens += len(ids)
-            if tokens:
-                move = (model.flat - before) * np.float32(tokens)
+            held: list[pa.Array] = []
+            current = None
+
+            def learned() -> Iterator[pa.RecordBatch]:
+                lex, before = shared.value
+                model = Model(lex, before)
+                ids, starts = _joined(pa.concat_arrays(held))
+                model.learn(ids, starts)
+                move = (model.flat - before).astype(np.float16)
                 for k in range(PIECES):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens], pa.int64()), pa.array([move[k * piece : (k + 1) * piece].tobytes()], pa.binary())], ["piece", "tokens", "move"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([current], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([move[k * piece : (k + 1) * piece].tobytes()], pa.binary())], ["piece", "slice", "tokens", "move"])
+
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if b > a:
+                        if held and own[a] != current:
+                            yield from learned()
+                            held = []
+                        current = int(own[a])
+                        held.append(batch.column(1).slice(a, b - a))
+            if held:
+                yield from learned()
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, list] = {}
             for batch in batches:
-                for k, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, _, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    move = np.frombuffer(raw, np.float16).astype(np.float64) * n
                     if k in total:
                         total[k][0] += n
-                        total[k][1] += np.frombuffer(raw, np.float32)
+                        total[k][1] += move
                     else:
-                        total[k] = [n, np.frombuffer(raw, np.float32).astype(np.float64)]
+                        total[k] = [n, move]
             for k, (n, move) in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(move / n).astype(np.float32).tobytes()], pa.binary())], ["piece", "move"])
 
-        part = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(rounds)) == r)).select("ids").coalesce(max(1, sc.defaultParallelism))
-        sums = part.mapInArrow(moved, "piece int, tokens long, move binary").repartition(min(PIECES, shuffles), "piece").mapInArrow(summed, "piece int, move binary")
-        for row in sums.collect():  # PIECES rows: the weights once, whatever the data
+        part = encoded.where(~F.col("held_out")).select(number.alias("slice"), "place", "ids").where(F.col("slice") % rounds == r)
+        dealt = part.repartition(4 * slices, "slice").sortWithinPartitions("slice", "place").select("slice", "ids")
+        moves = dealt.mapInArrow(moved, "piece int, slice long, tokens long, move binary").repartition(PIECES, "piece").sortWithinPartitions("piece", "slice")
+        for row in moves.mapInArrow(summed, "piece int, move binary").collect():  # PIECES rows: the weights once, whatever the data
             k = row["piece"] * piece
             weights[k : k + piece] += np.frombuffer(row["move"], np.float32)
         shared.unpersist()
@@ -333,7 +411,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     Null and empty texts hold the end alone; repeated rows are scored each (and learned from each); with no row to
-    learn from, counts are zero and all mass is unknown's. Both scores are log10 probabilities of the whole text.
+    learn from, counts are zero and all mass is unknown's. Both scores are log10 probabilities of the whole text, and
+    neither depends on how the rows are partitioned. An empty table gives an empty one; other columns take no part.
     """
     docs = docs.select("doc_id", "text")
     counts = settled(count_words(docs.where(~held_out(F.col("doc_id")))), "counts")
@@ -348,16 +427,17 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 ids, starts = _joined(batch.column(6))
-                each = model.log10(ids, starts)
-                other = ids < KINDS
-                each[other] -= kind_logs[ids[other]]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(np.add.reduceat(each, starts)), ], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "part"])
+                each, klass = model.log10(ids, starts)
+                other = klass < KINDS
+                each[other] -= kind_logs[klass[other]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(np.add.reduceat(each, starts))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "part"])
 
     slim = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", F.struct("head_log", "other_log").alias("logs"), "ids")
     scored = slim.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs struct<head_log:double,other_log:double>, part double")
-    rare = encoded.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf")
+    rare = encoded.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word"))
     found = rare.join(counts.select("word", "n"), "word", "left")
-    tails = found.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("tail_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("tail_known"))
+    tails = settled(found.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("tail_log"), F.count("n").alias("tail_known")), "tails")
+    release(counts)
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return scored.join(tails, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(lex.tokens).cast("long").alias("train_tokens"),

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkweft.llm import html_blocks as H
@@ -185,23 +186,91 @@ def test_language_model(spark, sf, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_probabilities_sum_to_one():
+def invented_lexicon(n=3000, least=100):
     rng = np.random.default_rng(2)
-    counts = np.sort(rng.integers(5, 500, 3000))[::-1]
-    kinds = rng.integers(0, L.KINDS, 3000)
-    other, other_words = np.bincount(kinds[L.MODEL_WORDS :], counts[L.MODEL_WORDS :], L.KINDS), np.bincount(kinds[L.MODEL_WORDS :], minlength=L.KINDS).astype(float)
-    lex = L.Lexicon([b"w%d" % i for i in range(3000)], counts, kinds, int(counts.sum()), 3000, other, other_words, 0)
-    model = L.Model(lex, rng.normal(0, 0.5, L.N_WEIGHTS).astype(np.float32))
+    counts = np.sort(rng.integers(5, 500, n))[::-1].astype(np.int64)
+    kinds, placed = rng.integers(0, L.KINDS, n).astype(np.int32), int((counts >= least).sum())
+    other, other_words = np.bincount(kinds[placed:], counts[placed:], L.KINDS), np.bincount(kinds[placed:], minlength=L.KINDS).astype(float)
+    return L.Lexicon(pa.array([b"w%d" % i for i in range(n)]), counts, kinds, placed, int(counts.sum()), n, other, other_words)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    lex = invented_lexicon()
+    model = L.Model(lex, rng.normal(0, 0.5, L.Model.n_weights(lex)).astype(np.float32))
+    assert (model.side - 1) ** 3 < lex.placed <= model.side**3
     context = [7, 1800]
-    ids = np.array([x for last in range(L.START) for x in (*context, last)], np.uint16)
-    each = model.log10(ids, np.arange(0, len(ids), 3))[2::3]
+    every = [*range(L.KINDS), *range(L.KINDS, L.KINDS + lex.placed)]  # a kind once, each placed word
+    ids = np.array([x for last in every for x in (*context, last)], np.int32)
+    each = model.log10(ids, np.arange(0, len(ids), 3))[0][2::3]
     rest = lex.kind_logs
     # A kind's words and one unknown word share the kind's probability.
-    shares = np.array([sum((c + L.SMOOTH) / 10 ** rest[k] for c, kk in zip(counts[L.MODEL_WORDS :], kinds[L.MODEL_WORDS :], strict=True) if kk == k) + L.SMOOTH / 10 ** rest[k] for k in range(L.KINDS)])
+    shares = np.array([sum((c + L.SMOOTH) / 10 ** rest[k] for c, kk in zip(lex.counts[lex.placed :], lex.kinds[lex.placed :], strict=True) if kk == k) + L.SMOOTH / 10 ** rest[k] for k in range(L.KINDS)])
     assert np.allclose(shares, 1)
     assert abs((10.0**each).sum() - 1) < 1e-3
 
 
+def test_model_by_plain_loops():
+    """Probabilities from the weights, token by token; and that a step goes down the gradient."""
+    rng = np.random.default_rng(4)
+    lex = invented_lexicon(400, 60)
+    model = L.Model(lex, rng.normal(0, 0.5, L.Model.n_weights(lex)).astype(np.float32))
+    s, ids = model.side, rng.integers(0, L.KINDS + len(lex.head), 60).astype(np.int32)
+    starts = np.array([0, 1, 20])
+    got, classes = model.log10(ids, starts)
+    n = [*lex.counts[: lex.placed].tolist(), *[0] * (s**3 - lex.placed)]
+
+    def log_softmax(z, k):
+        return (z[k] - math.log(sum(math.exp(x) for x in z))) / math.log(10)
+
+    def hashed(*parts):
+        return int(model._hash(*(np.array([p]) for p in parts))[0])
+
+    log = lambda x, of: math.log(x / of) if x else -60.0
+    top = [*(lex.kind_tokens + L.SMOOTH), *(sum(n[i * s * s : (i + 1) * s * s]) for i in range(s))]
+    for i, w in enumerate(ids.tolist()):
+        begin = max(x for x in starts.tolist() if x <= i)
+        last, skip = (int(ids[i - k]) if i - k >= begin else lex.start for k in (1, 2))
+        rank = w - L.KINDS
+        klass = w if w < L.KINDS else L.KINDS + rank // (s * s) if rank < lex.placed else int(lex.kinds[rank])
+        near = [hashed(last), hashed(skip), hashed(last, skip)]
+        want = log_softmax([log(c, sum(top)) + sum(float(t[r, k]) for t, r in zip(model.tables[:3], near, strict=True)) for k, c in enumerate(top)], klass)
+        if 0 <= rank < lex.placed:
+            a, b = rank // (s * s), rank // s
+            parts, members = [sum(n[(a * s + j) * s : (a * s + j + 1) * s]) for j in range(s)], n[b * s : (b + 1) * s]
+            mid = [hashed(a, last), hashed(a, skip + lex.start)]
+            want += log_softmax([log(c, sum(parts)) + sum(float(t[r, k]) for t, r in zip(model.tables[3:5], mid, strict=True)) for k, c in enumerate(parts)], b % s)
+            want += log_softmax([log(c, sum(members)) + float(model.tables[5][hashed(b + s, last), k]) for k, c in enumerate(members)], rank % s)
+        assert classes[i] == klass and abs(got[i] - want) < 1e-3
+    for _ in range(5):
+        model.learn(ids, starts)
+    assert model.log10(ids, starts)[0].sum() > got.sum()
+
+
+def test_language_model_on_any_layout(spark, sf, monkeypatch):
+    """The same scores whatever the partitions, with several slices a round."""
+    monkeypatch.setattr(L, "SLICE_TOKENS", 6000)
+    monkeypatch.setattr(L, "MODEL_COUNT", 8)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, df in ((4, docs), (13, docs.repartition(7))):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r["doc_id"]: r["score"] for r in L.score_documents(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0].keys() == got[1].keys() and all(math.isclose(v, got[1][k], rel_tol=1e-6) for k, v in got[0].items())
+
+
+def test_the_model_grows_with_the_corpus(spark):
+    sizes = []
+    for n in (1, 8):
+        rows = [(i, " ".join(f"w{(i * 31 + j * j) % (60 * n)}" for j in range(200))) for i in range(150 * n)]
+        lex = L.lexicon(L.count_words(spark.createDataFrame(rows, "doc_id long, text string")))
+        sizes.append((lex.placed, L.Model.n_weights(lex)))
+    assert sizes[1][0] > 4 * sizes[0][0] and sizes[1][1] > 2 * sizes[0][1]
+
+
 def test_language_model_odd_rows(spark):
     rows = [(1, None, 1, 1), (2, "", 1, 1), (3, "É é A a", 1, 1), (3, "É é A a", 1, 1), (None, "x \t\x0b y", 1, 1), (30, "word " * 60_000, 1, 1), (5, "z" * 5000, 1, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row int, score int")
