@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,32 +96,75 @@ def delta_counts(delta: DataFrame) -> DataFrame:
     return delta.agg(n("added"), n("removed"), n("modified"), F.sort_array(F.collect_set("node_type")).alias("changed_types"))
 
 
-def commit_batch(g: Graph, changed_files: Iterable[str], nodes: DataFrame, edges: DataFrame, protected: Iterable[str] = ()) -> Commit:
+#: Files up to which a list of them goes into the plan; longer lists and DataFrames are joined.
+LISTED = 200
+
+
+def _in_files(df: DataFrame, column: Column, files: Iterable[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df split in two: rows whose column is one of the files, and the others."""
+    if not isinstance(files, DataFrame):
+        named = list(dict.fromkeys(files))
+        if len(named) <= LISTED:
+            hit = F.coalesce(column.isin(*named), F.lit(False)) if named else F.lit(False)
+            return df.where(hit), df.where(~hit)
+        files = df.sparkSession.createDataFrame([(f,) for f in named], "file string")
+    known = files.select(F.col("file").alias("_file")).distinct()
+    shown = df.withColumn("_of", column)
+    met = F.col("_of") == F.col("_file")
+    return shown.join(known, met, "left_semi").drop("_of"), shown.join(known, met, "left_anti").drop("_of")
+
+
+def replaced(g: Graph, changed_files: Iterable[str] | DataFrame, protected: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What a commit of files takes out: the nodes (id) that they own but those of protected types, and the edges (src,
+    dst, edge_type) that leave these or are filed under the files."""
+    kept_types = list(protected)
+    open_nodes = g.nodes.where(~F.col("node_type").isin(*kept_types)) if kept_types else g.nodes
+    nodes = _in_files(open_nodes.select("id", "file"), F.col("file"), changed_files)[0].select("id")
+    filed, others = _in_files(g.edges, edge_owner(F.col("metadata")), changed_files)
+    leaving = others.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    return nodes, filed.select(*EDGE_KEY).union(leaving.select(*EDGE_KEY))
+
+
+def commit_batch(g: Graph, changed_files: Iterable[str] | DataFrame, nodes: DataFrame, edges: DataFrame, protected: Iterable[str] = (), seq: str | None = None) -> Commit:
     """Replace everything that the changed files own: their nodes (but protected types), the edges that leave them and
-    the edges filed under them; then put in the new rows. The delta compares nodes before and after."""
-    changed, kept_types = list(changed_files), list(protected)
-    hit = F.col("file").isin(*changed) if changed else F.lit(False)
-    if kept_types:
-        hit &= ~F.col("node_type").isin(*kept_types)
-    gone = g.nodes.where(F.coalesce(hit, F.lit(False)))
-    left = g.nodes.where(~F.coalesce(hit, F.lit(False)))
-    edge_hit = F.coalesce(edge_owner(F.col("metadata")).isin(*changed), F.lit(False)) if changed else F.lit(False)
-    kept = without(g.edges.where(~edge_hit), gone.select(F.col("id").alias("src")), ["src"])
-    after = Graph(upsert(left, nodes, NODE_KEY), upsert(kept, edges, EDGE_KEY))
+    the edges filed under them; then put in the new rows, those of one key in the order of seq. The delta compares
+    nodes before and after. changed_files: names, or a DataFrame (file)."""
+    gone_nodes, gone_edges = replaced(g, changed_files, protected)
+    after = Graph(upsert(without(g.nodes, gone_nodes, NODE_KEY), nodes, NODE_KEY, seq), upsert(without(g.edges, gone_edges, EDGE_KEY), edges, EDGE_KEY, seq))
     return Commit(after, node_delta(g.nodes, after.nodes))
 
 
+def in_order(commits: list[tuple[Iterable[str], DataFrame, DataFrame, Iterable[str]]]) -> tuple[list[str], DataFrame, DataFrame, list[str]]:
+    """One commit (files, nodes, edges, protected) for several in a row, with a column seq in both tables: of the rows
+    of a file only those of its last commit count, and of an id's rows the last. A type that any commit protects is
+    protected in all."""
+    files, protected = [[str(f) for f in c[0]] for c in commits], sorted({t for c in commits for t in c[3]})
+    last = {f: i for i, fs in enumerate(files) for f in fs}
+    parts: tuple[list[DataFrame], list[DataFrame]] = ([], [])
+    for i, (fs, nodes, edges, _) in enumerate([(f, *c[1:]) for f, c in zip(files, commits, strict=True)]):
+        late = [f for f in fs if last[f] > i]  # what a later commit replaces
+        gone, kept = _in_files(nodes, F.col("file"), late)
+        if late and protected:
+            kept = kept.unionByName(gone.where(F.col("node_type").isin(*protected)))
+            gone = gone.where(~F.col("node_type").isin(*protected))
+        filed = _in_files(edges, edge_owner(F.col("metadata")), late)[1]
+        left = filed.join(gone.select(F.col("id").alias("src")), "src", "left_anti").select(*edges.columns) if late else filed
+        for part, df in zip(parts, (kept, left), strict=True):
+            part.append(df.withColumn("seq", F.lit(i).cast("long")))
+    nodes, edges = (reduce(DataFrame.unionByName, p) for p in parts)
+    return list(last), nodes, edges, protected
+
+
 def row_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows that only one of two snapshots holds, as often as they are more there, with side added or removed."""
     return new.exceptAll(old).withColumn("side", F.lit("added")).union(old.exceptAll(new).withColumn("side", F.lit("removed")))
 
 
-def dependent_files(g: Graph, changed_files: Iterable[str]) -> DataFrame:
+def dependent_files(g: Graph, changed_files: Iterable[str] | DataFrame) -> DataFrame:
     """(file): other files with an edge into a changed one."""
-    changed = list(changed_files)
-    targets = g.nodes.where(F.col("file").isin(*changed)).select(F.col("id").alias("dst"))
-    sources = g.edges.join(targets, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-    return g.nodes.join(sources, "id", "left_semi").where(~F.col("file").isin(*changed)).select("file").distinct()
+    own, other = _in_files(g.nodes.select("id", "file"), F.col("file"), changed_files)
+    sources = g.edges.join(own.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    return other.join(sources, "id", "left_semi").where("file IS NOT NULL").select("file").distinct()
 
 
 def changed_files(listing: DataFrame, known: DataFrame) -> DataFrame:
@@ -166,16 +211,25 @@ def suspicious_types(new: DataFrame, known: DataFrame, column: str, most: int =
 # --- snapshots ------------------------------------------------------------------------------------------------------
 
 
+class Conflict(RuntimeError):
+    """Another writer took the version."""
+
+
 class Store:
     """A directory of databases; each a row of immutable snapshots with one manifest file a version.
 
-    A snapshot is two Parquet tables: nodes partitioned by type, edges by type, both clustered by the directory of the
-    file or by source and sorted by id, with bloom filters on the ids. A version counts once its manifest is written,
-    so readers see whole snapshots only.
+    A snapshot is a base and the deltas since: a commit writes only the rows and tombstones of its files, and readers
+    put the newest over the base. Once COMPACT_AT deltas are there, the next commit writes a new base. A base is two
+    Parquet tables: nodes partitioned by type, edges by type, both clustered by the directory of the file or by source
+    and sorted by id, with bloom filters on the ids. A writer claims its version first, so of two only one has it; a
+    version counts once its manifest is there, so readers see whole snapshots only.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    #: Seconds after which a claim without a manifest is that of a writer that died; tries of a commit.
+    STALE, TRIES = 600, 5
+
+    def __init__(self, spark: SparkSession, root: str, compact_at: int = COMPACT_AT) -> None:
+        self.spark, self.root, self.compact_at = spark, root.rstrip("/"), compact_at
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -186,65 +240,170 @@ class Store:
     def drop(self, name: str) -> bool:
         return self._fs.delete(self._fs_path(self._dir(name)), True)
 
+    def clear(self, name: str) -> dict:
+        """A snapshot without rows; the ones before stay readable."""
+        empty = Graph(self.spark.createDataFrame([], NODE_SCHEMA), self.spark.createDataFrame([], EDGE_SCHEMA))
+        return self.write(name, empty)
+
     def _dir(self, name: str) -> str:
         if not re.fullmatch(r"[\w-]+", name):
             raise ValueError(f"database name {name!r}")
         return f"{self.root}/{name}"
 
+    def _texts(self, folder: str) -> list[str]:
+        p = self._fs_path(folder)
+        files = [str(s.getPath()) for s in self._fs.listStatus(p) if s.getPath().getName().endswith(".json")] if self._fs.exists(p) else []
+        return [r["value"] for r in self.spark.read.text(files, wholetext=True).collect()] if files else []  # short files, one a version or tag
+
     def snapshots(self, name: str) -> list[dict]:
-        """Manifests by version."""
-        p = self._fs_path(f"{self._dir(name)}/manifests")
-        if not self._fs.exists(p):
-            return []
-        files = [str(s.getPath()) for s in self._fs.listStatus(p)]
-        rows = self.spark.read.text(files, wholetext=True).collect() if files else []  # one short file a version
-        return sorted((json.loads(r["value"]) for r in rows), key=lambda m: m["version"])
-
-    def write(self, name: str, g: Graph, tags: dict[str, str] | None = None) -> dict:
-        """Write a snapshot and its manifest; the next version."""
-        version = max((m["version"] for m in self.snapshots(name)), default=0) + 1
-        at = f"{self._dir(name)}/v={version}"
+        """Manifests by version, with the tags that were added later."""
+        found = {m["version"]: m for m in map(json.loads, self._texts(f"{self._dir(name)}/manifests"))}
+        for t in sorted(map(json.loads, self._texts(f"{self._dir(name)}/tags")), key=lambda t: t["at"]):
+            if t["version"] in found:
+                found[t["version"]]["tags"] |= t["tags"]
+        return sorted(found.values(), key=lambda m: m["version"])
+
+    # writing
+
+    def write(self, name: str, g: Graph, tags: dict[str, str] | None = None, only: int | None = None) -> dict:
+        """Write a whole graph as a base; the next version, or only the given one."""
+        at = self._write_base(name, g)
+        stats = {r["node_type"]: r["n"] for r in self._base(at, "nodes").groupBy("node_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {"nodes": sum(stats.values()), "edges": self._base(at, "edges").count(), "types": stats}
+        for _ in range(self.TRIES):
+            version = only or max((m["version"] for m in self.snapshots(name)), default=0) + 1
+            if self._claim(name, version):
+                return self._put(name, {"version": version, "at": time.time(), "tags": tags or {}, **counts, "base": at, "deltas": []})
+            if only:
+                break
+        raise Conflict(f"no version of {name} could be had")
+
+    def commit(self, name: str, changed_files: Iterable[str] | DataFrame, nodes: DataFrame, edges: DataFrame, protected: Iterable[str] = (), tags: dict[str, str] | None = None, seq: str | None = None) -> tuple[dict, DataFrame]:
+        """Replace what files own in the newest snapshot, as commit_batch does, by a delta: its manifest, and the node
+        delta (id, node_type, change). Only rows of the touched keys are compared. A lost race is tried again."""
+        files = changed_files if isinstance(changed_files, DataFrame) else list(changed_files)
+        for _ in range(self.TRIES):
+            found = self.snapshots(name)
+            order = F.col(seq) if seq else F.lit(0)
+            try:
+                if not found:  # the first commit is the first base
+                    g = Graph(latest(nodes, NODE_KEY, order).select(*_columns(NODE_SCHEMA)), latest(edges, EDGE_KEY, order).select(*_columns(EDGE_SCHEMA)))
+                    manifest = self.write(name, g, tags, 1)
+                    return manifest, self._graph(manifest).nodes.select("id", "node_type", F.lit("added").alias("change"))
+                return self._commit(name, found[-1], files, nodes, edges, protected, tags or {}, seq)
+            except Conflict:
+                continue
+        raise Conflict(f"no version of {name} could be had")
+
+    def _commit(self, name: str, last: dict, files: list[str] | DataFrame, nodes: DataFrame, edges: DataFrame, protected: Iterable[str], tags: dict[str, str], seq: str | None) -> tuple[dict, DataFrame]:
+        old, at, order = self._graph(last), f"{self._dir(name)}/delta-{uuid.uuid4().hex}", F.col(seq) if seq else F.lit(0)
+        gone_nodes, gone_edges = replaced(old, files, protected)
+        # One small file or so a table: a commit holds some files' rows.
+        for table, df in (("nodes", latest(nodes, NODE_KEY, order).select(*_columns(NODE_SCHEMA))), ("edges", latest(edges, EDGE_KEY, order).select(*_columns(EDGE_SCHEMA))), ("gone_nodes", gone_nodes), ("gone_edges", gone_edges.distinct())):
+            df.write.parquet(f"{at}/{table}")
+        manifest = {"version": last["version"] + 1, "at": time.time(), "tags": tags, "base": last["base"], "deltas": [*last["deltas"], at]}
+        new = self._graph(manifest)
+        touched = self._touched(at, "nodes")
+        before, after = (x.nodes.join(touched, NODE_KEY, "left_semi") for x in (old, new))
+        delta = node_delta(before, after)
+        types = dict(last["types"])
+        for df, sign in ((before, -1), (after, 1)):
+            for r in df.groupBy("node_type").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a type
+                types[r["node_type"]] = types.get(r["node_type"], 0) + sign * r["n"]
+        moved = [x.edges.join(self._touched(at, "edges"), EDGE_KEY, "left_semi").count() for x in (old, new)]
+        types = {k: v for k, v in types.items() if v}
+        manifest |= {"nodes": sum(types.values()), "edges": last["edges"] - moved[0] + moved[1], "types": types}
+        if should_compact(len(manifest["deltas"]), self.compact_at):
+            manifest |= {"base": self._write_base(name, new), "deltas": []}
+        if not self._claim(name, manifest["version"]):
+            raise Conflict(f"version {manifest['version']} of {name}")
+        return self._put(name, manifest), delta
+
+    def compact(self, name: str) -> dict:
+        """The newest snapshot as a base alone, as the next version."""
+        last = self.snapshots(name)[-1]
+        return self.write(name, self._graph(last), last["tags"])
+
+    def _write_base(self, name: str, g: Graph) -> str:
+        at = f"{self._dir(name)}/base-{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         bloom = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.enabled#src": "true", "parquet.bloom.filter.enabled#dst": "true"}
         nodes = g.nodes.withColumn("_dir", parent_dir(F.coalesce("file", F.lit("")))).repartition(parts, "node_type", "_dir", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("node_type", "id").drop("_dir")
         nodes.write.partitionBy("node_type").options(**bloom).parquet(f"{at}/nodes")
         g.edges.repartition(parts, "edge_type", F.pmod(F.xxhash64("src"), F.lit(parts))).sortWithinPartitions("edge_type", "src").write.partitionBy("edge_type").options(**bloom).parquet(f"{at}/edges")
-        stats = {r["node_type"]: r["n"] for r in self._nodes(at).groupBy("node_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-        manifest = {"version": version, "at": time.time(), "tags": tags or {}, "nodes": sum(stats.values()), "edges": self._edges(at).count(), "types": stats}
-        self._put(name, manifest)
+        return at
+
+    def _claim(self, name: str, version: int) -> bool:
+        """Create the version's claim if there is none; one of a writer that died long ago is taken away."""
+        p = self._fs_path(f"{self._dir(name)}/claims/{version:08d}")
+        if self._fs.createNewFile(p):
+            return True
+        manifest = self._fs_path(f"{self._dir(name)}/manifests/{version:08d}.json")
+        if not self._fs.exists(manifest) and time.time() - self._fs.getFileStatus(p).getModificationTime() / 1000 > self.STALE:
+            self._fs.delete(p, False)
+        else:
+            time.sleep(0.2)
+        return False
+
+    def _put(self, name: str, manifest: dict) -> dict:
+        self._write_text(f"{self._dir(name)}/manifests", f"{manifest['version']:08d}.json", manifest)
         return manifest
 
-    def _put(self, name: str, manifest: dict) -> None:
-        folder = f"{self._dir(name)}/manifests"
-        part, final = self._fs_path(f"{folder}/.{manifest['version']}.part"), self._fs_path(f"{folder}/{manifest['version']:08d}.json")
+    def _write_text(self, folder: str, file: str, content: dict) -> None:
+        """Written beside its place and renamed into it: no reader sees a part of it, and nothing is ever replaced."""
+        part, final = self._fs_path(f"{folder}/.{file}.{uuid.uuid4().hex}"), self._fs_path(f"{folder}/{file}")
         out = self._fs.create(part, True)
-        out.write(json.dumps(manifest).encode())
+        out.write(json.dumps(content).encode())
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
         if not self._fs.rename(part, final):
-            raise OSError(f"manifest {final} could not be written")
+            raise OSError(f"{final} could not be written")
 
-    def _nodes(self, at: str) -> DataFrame:
-        return self.spark.read.schema(NODE_SCHEMA).parquet(f"{at}/nodes")
-
-    def _edges(self, at: str) -> DataFrame:
-        return self.spark.read.schema(EDGE_SCHEMA).parquet(f"{at}/edges")
+    def tag(self, name: str, version: int, **tags: str) -> dict:
+        """Add tags to a version: a file of their own, for manifests never change."""
+        if version not in {m["version"] for m in self.snapshots(name)}:
+            raise KeyError(f"no version {version} of {name}")
+        self._write_text(f"{self._dir(name)}/tags", f"{version:08d}-{uuid.uuid4().hex}.json", {"version": version, "at": time.time(), "tags": tags})
+        return next(m for m in self.snapshots(name) if m["version"] == version)
+
+    # reading
+
+    def _base(self, at: str, table: str) -> DataFrame:
+        schema = NODE_SCHEMA if table == "nodes" else EDGE_SCHEMA
+        return self.spark.read.schema(schema).parquet(f"{at}/{table}").select(*_columns(schema))
+
+    def _touched(self, at: str, table: str) -> DataFrame:
+        """The keys that a delta puts in or takes out."""
+        key, schema = (NODE_KEY, "id string") if table == "nodes" else (EDGE_KEY, "src string, dst string, edge_type string")
+        rows = self._delta(at, table).select(*key)
+        return rows.union(self.spark.read.schema(schema).parquet(f"{at}/gone_{table}").select(*key)).distinct()
+
+    def _delta(self, at: str, table: str) -> DataFrame:
+        return self.spark.read.schema(NODE_SCHEMA if table == "nodes" else EDGE_SCHEMA).parquet(f"{at}/{table}")
+
+    def _graph(self, manifest: dict) -> Graph:
+        """The base without the keys that deltas touch, and for these what the last delta that touches them says. The
+        base is not shuffled where the deltas are small."""
+        tables = []
+        for table, key in (("nodes", NODE_KEY), ("edges", EDGE_KEY)):
+            base = self._base(manifest["base"], table)
+            if manifest["deltas"]:
+                rows = reduce(DataFrame.union, (self._delta(at, table).withColumn("_seq", F.lit(i)) for i, at in enumerate(manifest["deltas"])))
+                touched = reduce(DataFrame.union, (self._touched(at, table).withColumn("_last", F.lit(i)) for i, at in enumerate(manifest["deltas"]))).groupBy(*key).agg(F.max("_last").alias("_last"))
+                live = rows.join(touched, key).where("_seq = _last").select(*base.columns)
+                base = base.join(touched.select(*key), key, "left_anti").select(*base.columns).union(live)
+            tables.append(base)
+        return Graph(*tables)
 
     def read(self, name: str, version: int | None = None, tag: tuple[str, str] | None = None) -> Graph:
         """The newest snapshot, or one by version or tag."""
         found = [m for m in self.snapshots(name) if (version is None or m["version"] == version) and (tag is None or m["tags"].get(tag[0]) == tag[1])]
         if not found:
             raise KeyError(f"no such snapshot of {name}")
-        at = f"{self._dir(name)}/v={found[-1]['version']}"
-        order = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-        return Graph(self._nodes(at).select(*order), self._edges(at).select("src", "dst", "edge_type", "metadata"))
-
-    def tag(self, name: str, version: int, **tags: str) -> dict:
-        manifest = next(m for m in self.snapshots(name) if m["version"] == version)
-        manifest["tags"] |= tags
-        self._put(name, manifest)
-        return manifest
+        return self._graph(found[-1])
 
     def diff(self, name: str, old: int, new: int) -> DataFrame:
         return node_delta(self.read(name, old).nodes, self.read(name, new).nodes)
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]

@@ -14,7 +14,7 @@ from .functions.attributes import json_attribute
 from .graph import Graph
 from .operators.code_queries import similar_names
 from .operators.primitives import page
-from .operators.store import Commit, Store, commit_batch
+from .operators.store import Store, in_order
 from .plans.cypher import cypher
 from .plans.datalog import Datalog, parse_query
 
@@ -40,7 +40,8 @@ class GraphSession:
         self.rules = ""
         self.declared: dict[str, str] = {}
         self.plugins: dict[str, Callable[[Graph], Graph]] = {}
-        self._batch: list[tuple[list[str], DataFrame, DataFrame]] | None = None
+        self._batch: list[tuple[list[str], DataFrame, DataFrame, list[str]]] | None = None
+        self._batch_tags: dict[str, str] = {}
 
     @property
     def spark(self) -> SparkSession:
@@ -126,34 +127,38 @@ class GraphSession:
 
     # writing
 
-    def commit(self, changed_files: Iterable[str], nodes: DataFrame, edges: DataFrame, protected: Iterable[str] = (), **tags: str) -> Commit | None:
-        """Replace what the files own in the newest snapshot; inside a batch the commit waits for its end."""
+    def commit(self, changed_files: Iterable[str], nodes: DataFrame, edges: DataFrame, protected: Iterable[str] = (), **tags: str) -> DataFrame | None:
+        """Replace what the files own in the newest snapshot; the node delta (id, node_type, change). Inside a batch
+        the commit waits for its end: its protected types and tags count there too."""
         if self.read_only:
             raise PermissionError(f"{self.name} is open for reading")
         if self._batch is not None:
-            self._batch.append((list(changed_files), nodes, edges))
+            self._batch.append((list(changed_files), nodes, edges, list(protected)))
+            self._batch_tags |= tags
             return None
-        old = self.store.read(self.name) if self.store.snapshots(self.name) else Graph(nodes.limit(0), edges.limit(0))
-        done = commit_batch(old, changed_files, nodes, edges, protected)
-        self.store.write(self.name, done.graph, tags)
-        return done
+        return self.store.commit(self.name, changed_files, nodes, edges, protected, tags)[1]
 
     @contextmanager
     def batch(self, **tags: str):  # noqa: ANN201
-        """Commits inside become one snapshot; an error leaves none."""
-        self._batch = []
+        """Commits inside become one snapshot, as if made one after the other; an error, or abort(), leaves none."""
+        if self._batch is not None:
+            raise RuntimeError("a batch is open")
+        self._batch, self._batch_tags = [], {}
         try:
             yield self
             waiting, self._batch = self._batch, None
             if waiting:
-                files = [f for fs, _, _ in waiting for f in fs]
-                nodes, edges = waiting[0][1], waiting[0][2]
-                for _, n, e in waiting[1:]:
-                    nodes, edges = nodes.unionByName(n), edges.unionByName(e)
-                self.commit(files, nodes, edges, **tags)
+                files, nodes, edges, protected = in_order(waiting)
+                self.store.commit(self.name, files, nodes, edges, protected, self._batch_tags | tags, "seq")
         finally:
             self._batch = None
 
+    def abort(self) -> None:
+        """Forget the commits of the open batch."""
+        if self._batch is None:
+            raise RuntimeError("no batch is open")
+        self._batch, self._batch_tags = [], {}
+
     @property
     def is_batching(self) -> bool:
         return self._batch is not None
@@ -162,7 +167,7 @@ class GraphSession:
         """A plug-in derives nodes and edges from the graph."""
         self.plugins[name] = plugin
 
-    def enrich(self, name: str) -> Commit | None:
+    def enrich(self, name: str) -> DataFrame | None:
         """Run a plug-in and commit what it derives under its virtual file."""
         from .operators.store import enrichment_file
 
