@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_code  # noqa: F401  its queries register themselves
 from .functions import attributes as A
 from .graph import Graph
 from .operators import code_queries, guarantees, history, primitives, resolve, store, traverse
 from .plans.cypher import cypher
 from .plans.datalog import Datalog
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .sources.relational import EVENT_TYPES, read, relational_graph
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 EVENTS = tuple(f"event:{e}" for e in EVENT_TYPES)
 
 
-def query(sql: str | None) -> Callable:
-    """Register a function under its name, with its SQL unless SQL cannot say it."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def graph(spark: SparkSession, sf_dir: str, nodes: tuple = ("REGION",), edges: tuple = ("IN_REGION",)) -> Graph:
     return relational_graph(spark, sf_dir, nodes, edges)
 
@@ -256,21 +242,13 @@ def datalog_attr_edge(spark, d):
     return Datalog(graph(spark, d, edges=("CONTAINS_PART",))).query('edge(O, P, "CONTAINS_PART"), attr_edge(O, P, "CONTAINS_PART", "lines", "2")').select("O", "P")
 
 
-_ANCESTORS = """WITH RECURSIVE parent AS (SELECT 'ORDER:' || o_orderkey AS a, 'CUSTOMER:' || o_custkey AS b FROM orders WHERE o_orderstatus = 'P'
+_ANCESTORS = """WITH RECURSIVE parent AS (SELECT 'ORDER:' || o_orderkey AS a, 'CUSTOMER:' || o_custkey AS b FROM orders
 UNION ALL SELECT 'CUSTOMER:' || c_custkey, 'NATION:' || c_nationkey FROM customer UNION ALL SELECT 'NATION:' || n_nationkey, 'REGION:' || n_regionkey FROM nation),
 up AS (SELECT a, b FROM parent UNION SELECT up.a, p.b FROM up JOIN parent p ON up.b = p.a) """
 
 
 @query(_ANCESTORS + "SELECT a AS a0, b AS a1 FROM up")
 def datalog_recursive_path(spark, d):
-    g = graph(spark, d, ("ORDER",), ("PARENT",))
-    own = g.nodes.where("file = 'orders/P'").select(F.col("id").alias("src"))
-    kept = g.edges.where("NOT startswith(src, 'ORDER:')").unionByName(g.edges.where("startswith(src, 'ORDER:')").join(own, "src", "left_semi").select(*g.edges.columns))
-    return Datalog(Graph(g.nodes, kept), 'above(X, Y) :- edge(X, Y, "PARENT"). above(X, Z) :- above(X, Y), edge(Y, Z, "PARENT").').relation("above")
-
-
-@query(_ANCESTORS.replace(" WHERE o_orderstatus = 'P'", "") + "SELECT a AS a0, b AS a1 FROM up")
-def datalog_recursive_path_whole(spark, d):
     return Datalog(graph(spark, d, ("ORDER",), ("PARENT",)), 'above(X, Y) :- edge(X, Y, "PARENT"). above(X, Z) :- above(X, Y), edge(Y, Z, "PARENT").').relation("above")
 
 
@@ -303,17 +281,8 @@ def reachability_back(spark, d):
     return traverse.reachability(graph(spark, d, edges=("PARENT",)), "REGION:1", 2, ["PARENT"], backward=True)
 
 
-@query("SELECT 'ORDER:' || o_orderkey AS origin, 'NATION:' || c_nationkey AS node, 2 AS depth FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 100 = 3")
-def parent_lookup(spark, d):
-    g = graph(spark, d, ("NATION", "CUSTOMER", "REGION"), ("PARENT",))
-    up = Graph(g.nodes, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", "metadata"))
-    orders = read(spark, d, "orders").where("o_orderkey % 100 = 3").select(F.concat(F.lit("ORDER:"), F.col("o_orderkey").cast("string")).alias("origin"))
-    kind = F.col("node_type")
-    return traverse.upward(orders.select("origin", F.col("origin").alias("node")), up, ["PARENT"], kind == "NATION", kind == "REGION")
-
-
 @query("SELECT 'ORDER:' || o_orderkey AS origin, 'NATION:' || c_nationkey AS node, 2 AS depth FROM orders JOIN customer ON o_custkey = c_custkey")
-def parent_lookup_whole(spark, d):
+def parent_lookup(spark, d):
     g = graph(spark, d, ("NATION", "CUSTOMER", "REGION"), ("PARENT",))
     up = Graph(g.nodes, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", "metadata"))
     orders = read(spark, d, "orders").select(F.concat(F.lit("ORDER:"), F.col("o_orderkey").cast("string")).alias("origin"))
@@ -455,25 +424,24 @@ def guarantee_selective(spark, d):
     return guarantees.check_selective(graph(spark, d, ("ORDER", "CUSTOMER", "NATION"), ("CONTAINS_PART", "IN_NATION", "IN_REGION")), RULES, ["IN_NATION"]).select("guarantee", "id", "name")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey), w AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 1)
-SELECT 'SUPPLIER:' || s AS struct, 'ORDER:' || o AS interface FROM s JOIN w USING (b) GROUP BY s, o HAVING count(*) = (SELECT count(*) FROM w x WHERE x.o = w.o)""")
-def interface_satisfaction(spark, d):
-    lines = read(spark, d, "lineitem").join(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("method")), "l_partkey")
-    label = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
-    has = lines.select(label("SUPPLIER", "l_suppkey").alias("struct"), "method")
-    want = lines.where("l_orderkey % 50 = 1").select(label("ORDER", "l_orderkey").alias("interface"), "method")
-    return resolve.interface_satisfaction(has, want)
-
-
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey), w AS (SELECT DISTINCT l_orderkey AS o, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
 n AS (SELECT o, count(*) AS size FROM w GROUP BY o)
 SELECT 'SUPPLIER:' || s AS struct, 'ORDER:' || o AS interface FROM s JOIN w USING (b) JOIN n USING (o) GROUP BY s, o, size HAVING count(*) = size""")
-def interface_satisfaction_whole(spark, d):
+def interface_satisfaction(spark, d):
     lines = read(spark, d, "lineitem").join(read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("method")), "l_partkey")
     label = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
     return resolve.interface_satisfaction(lines.select(label("SUPPLIER", "l_suppkey").alias("struct"), "method"), lines.select(label("ORDER", "l_orderkey").alias("interface"), "method"))
 
 
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), w AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), n AS (SELECT o, count(*) AS size FROM w GROUP BY o)
+SELECT 'SUPPLIER:' || s AS struct, 'ORDER:' || o AS interface FROM s JOIN w USING (p) JOIN n USING (o) GROUP BY s, o, size HAVING count(*) = size""")
+def interface_satisfaction_parts(spark, d):
+    """Suppliers that have supplied every part of an order: many methods, few of them shared."""
+    lines = read(spark, d, "lineitem")
+    label = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    return resolve.interface_satisfaction(lines.select(label("SUPPLIER", "l_suppkey").alias("struct"), F.col("l_partkey").alias("method")), lines.select(label("ORDER", "l_orderkey").alias("interface"), F.col("l_partkey").alias("method")))
+
+
 @query("""WITH f AS (SELECT source AS file, doc_id AS line, doc_id + n_chars % 200 AS last FROM documents WHERE doc_id % 7 = 0), c AS (SELECT source AS file, doc_id AS line FROM documents WHERE doc_id % 7 <> 0)
 SELECT 'C' || c.line AS call, arg_min('F' || f.line, (f.last - f.line, 'F' || f.line)) AS function FROM c JOIN f ON c.file = f.file AND c.line BETWEEN f.line AND f.last GROUP BY c.line""")
 def range_containment_calls(spark, d):

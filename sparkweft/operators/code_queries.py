@@ -23,6 +23,7 @@ HIERARCHY = ("DERIVES_FROM", "IMPLEMENTS", "EXTENDS")
 BLAST = ("CALLS", "IMPORTS_FROM", "DEPENDS_ON", "USES")
 STRUCTURAL = ("CONTAINS", "HAS_SCOPE", "DECLARES", "DEFINES", "HAS_PARAMETER", "HAS_PROPERTY", "HAS_BODY")
 CALLS = ("CALL", "METHOD_CALL")
+# Methods that change what they are called on.
 MUTATORS = ("push", "unshift", "splice", "add", "set", "append", "concat", "insert", "assign", "write")
 # Expressions whose value cannot be told from the code.
 UNCERTAIN = ("process.env", "process.argv", "req.body", "req.query", "req.params", "req.headers", "req.cookies", "request.body", "request.query", "request.params", "ctx.request", "ctx.query", "ctx.params", "event.body", "location.href", "location.search", "Math.random", "Date.now", "crypto.randomUUID")
@@ -86,9 +87,9 @@ def containing(g: Graph, ids: Iterable[str] | DataFrame, max_depth: int = 15) ->
 def calls_in(g: Graph, functions: Iterable[str], max_depth: int = 10, transitive: bool = False, transitive_depth: int = 5) -> DataFrame:
     """(origin, call, target, resolved, level): the calls inside functions: through HAS_SCOPE or directly, then down
     CONTAINS through scopes only. Transitively also those of the targets, each function once."""
-    scopes = _of(g, "SCOPE").select(F.col("id").alias("node"))
-    down = steps(g.edges, "out", ("CONTAINS", "HAS_SCOPE"))
-    targets = call_targets(g)
+    scopes = settled(_of(g, "SCOPE").select(F.col("id").alias("node")), "scopes")  # read in every level, as the next two
+    down = settled(steps(g.edges, "out", ("CONTAINS", "HAS_SCOPE")), "down")
+    targets = settled(call_targets(g), "targets")
     call_ids = targets.select(F.col("call").alias("node"))
     seeds = _seed(g, functions)
 
@@ -97,19 +98,19 @@ def calls_in(g: Graph, functions: Iterable[str], max_depth: int = 10, transitive
         # Only scopes are climbed into: the moves of other nodes are left out, but the starts' own.
         moves = down.join(scopes.withColumnRenamed("node", "src"), "src", "left_semi").union(down.join(seed.select(F.col("node").alias("src")).distinct(), "src", "left_semi")).distinct()
         found = reach(seed, moves, max_depth, stop)
-        return found.join(call_ids, "node", "left_semi").select("origin", F.col("node").alias("call")).join(targets, "call").select("origin", "call", "target", "resolved", F.lit(level).alias("level"))
+        met = found.join(call_ids, "node", "left_semi").select("origin", F.col("node").alias("call")).join(targets, "call")
+        return settled(met.select(F.substring_index("origin", "\u0001", 1).alias("origin"), "call", "target", "resolved", F.lit(level).alias("level")).distinct(), "calls")
 
     out = one(seeds, 0)
     if not transitive:
         return out
     parts, seen, frontier = [out], seeds.select("origin", "node"), out
     for level in range(1, transitive_depth + 1):
-        following = frontier.where("resolved").select("origin", F.col("target").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
+        following = settled(frontier.where("resolved").select("origin", F.col("target").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti"), "following")
         if following.isEmpty():
             break
         seen = seen.union(following)
-        held = one(following.select(F.concat_ws("\u0001", "origin", "node").alias("origin"), "node"), level)
-        frontier = held.withColumn("origin", F.substring_index("origin", "\u0001", 1)).distinct()
+        frontier = one(following.select(F.concat_ws("\u0001", "origin", "node").alias("origin"), "node"), level)
         parts.append(frontier)
     return reduce(DataFrame.union, parts)
 
@@ -287,7 +288,7 @@ def impact(g: Graph, target: str, max_depth: int = 10, chain_names: int = 4) ->
 
 
 def blast_radius(g: Graph, node_id: str, max_depth: int = 3, cap: int = 150) -> tuple[DataFrame, dict]:
-    """(id, depth, via) of what depends on a node, nearest first, and the score: 3 for each direct dependent, 1 for
+    """(id, depth, via) of what depends on a node, nearest first, at most cap of it, and the score of all of it: 3 for each direct dependent, 1 for
     each other, 10 for each guarantee over the node's module; up to 10 LOW, up to 30 MEDIUM, else HIGH."""
     moves = steps(g.edges, "in", BLAST)
     out = []
@@ -300,13 +301,14 @@ def blast_radius(g: Graph, node_id: str, max_depth: int = 3, cap: int = 150) ->
         via = level.join(step, "node").groupBy("node", "depth").agg(F.min("src").alias("via"))
         out.append(via.select(F.col("node").alias("id"), "depth", "via"))
         via = via.select("node", "via")
-    found = reduce(DataFrame.union, out).orderBy("depth", "id").limit(cap) if out else g.nodes.limit(0).select("id", F.lit(0).alias("depth"), F.lit("").alias("via"))
+    whole = reduce(DataFrame.union, out) if out else g.nodes.limit(0).select("id", F.lit(0).alias("depth"), F.lit("").alias("via"))
+    found = whole.orderBy("depth", "id").limit(cap)
     from .guarantees import affected_guarantees
 
-    row = found.join(g.nodes.select("id", "file"), "id", "left").agg(F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count(F.when(F.col("depth") > 1, 1)).alias("indirect"), F.countDistinct("file").alias("files")).first()
+    row = whole.join(g.nodes.select("id", "file"), "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("depth") == 1, 1)).alias("direct"), F.count(F.when(F.col("depth") > 1, 1)).alias("indirect"), F.countDistinct("file").alias("files")).first()
     guarded = affected_guarantees(g, node_id).count()
     score = 3 * row["direct"] + row["indirect"] + 10 * guarded
-    return found, {"direct": row["direct"], "indirect": row["indirect"], "files": row["files"], "guarantees": guarded, "score": score, "level": "LOW" if score <= 10 else "MEDIUM" if score <= 30 else "HIGH"}
+    return found, {"direct": row["direct"], "indirect": row["indirect"], "files": row["files"], "guarantees": guarded, "cut": row["n"] > cap, "score": score, "level": "LOW" if score <= 10 else "MEDIUM" if score <= 30 else "HIGH"}
 
 
 # --- context --------------------------------------------------------------------------------------------------------
@@ -334,12 +336,18 @@ def subgraph(g: Graph, root: str, depth: int = 1) -> Graph:
     return Graph(g.nodes.join(ids, "id", "left_semi").select(*g.nodes.columns), edges)
 
 
+#: Lines of a stretch: calls and functions of a file meet stretch by stretch.
+STRETCH = 256
+
+
 def calls_by_position(g: Graph, file: str | None = None) -> DataFrame:
-    """(function, call): calls whose line lies in a function of the same file, the innermost of several."""
+    """(function, call): calls whose line lies in a function of the same file, the innermost of several. Joined on file
+    and stretch of lines, so a long generated file does not compare all its calls with all its functions."""
     own = g if file is None else Graph(g.nodes.where(F.col("file") == file), g.edges)
-    f = _of(own, "FUNCTION", "METHOD").select(F.col("id").alias("function"), "file", _number("line").alias("first"), _number("endLine").alias("last"))
-    c = _of(own, *CALLS).select(F.col("id").alias("call"), "file", _number("line").alias("line"))
-    met = c.join(f, "file").where(F.col("line").between(F.col("first"), F.col("last")))
+    f = _of(own, "FUNCTION", "METHOD").select(F.col("id").alias("function"), "file", _number("line").alias("first"), _number("endLine").alias("last")).where("first <= last")
+    f = f.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / STRETCH), F.floor(F.col("last") / STRETCH))))
+    c = _of(own, *CALLS).select(F.col("id").alias("call"), "file", _number("line").alias("line")).withColumn("stretch", F.floor(F.col("line") / STRETCH))
+    met = c.join(f, ["file", "stretch"]).where(F.col("line").between(F.col("first"), F.col("last")))
     return met.groupBy("call").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "function"))["function"].alias("function")).select("function", "call")
 
 

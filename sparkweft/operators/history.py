@@ -21,13 +21,18 @@ def churn(commits: DataFrame, since: str | None = None, limit: int | None = None
 def co_change(commits: DataFrame, least: float = 0.0, path: str | None = None) -> DataFrame:
     """(path, other, together, support): files of the same commits; support is the share of path's commits.
 
-    A self-join on the commit; a commit's files bound its pairs. With a path only its own partners are joined.
+    A self-join on the commit. Each pair of files is counted once, the lesser first, and mirrored after the counting;
+    with a path only its own partners are joined. A commit of n files has n (n - 1) / 2 pairs: of a very large commit
+    Spark splits the rows over tasks, and pairs are counted before they are shuffled.
     """
-    files = file_changes(commits).select("hash", "path").distinct()
-    of = files if path is None else files.where(F.col("path") == path)
-    totals = of.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    pairs = of.join(files.withColumnRenamed("path", "other"), "hash").where("path != other")
-    together = pairs.groupBy("path", "other").agg(F.count(F.lit(1)).alias("together"))
+    files = file_changes(commits, None).select("hash", "path").distinct()
+    totals = (files if path is None else files.where(F.col("path") == path)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    if path is None:
+        met = files.join(files.withColumnRenamed("path", "other"), "hash").where("path < other").groupBy("path", "other").agg(F.count(F.lit(1)).alias("together"))
+        sides = F.explode(F.array(F.struct(F.col("path").alias("path"), F.col("other").alias("other")), F.struct(F.col("other").alias("path"), F.col("path").alias("other"))))
+        together = met.select(sides.alias("p"), "together").select("p.path", "p.other", "together")
+    else:
+        together = files.where(F.col("path") == path).join(files.withColumnRenamed("path", "other"), "hash").where("path != other").groupBy("path", "other").agg(F.count(F.lit(1)).alias("together"))
     return together.join(totals, "path").select("path", "other", "together", (F.col("together") / F.col("n")).alias("support")).where(F.col("support") >= least)
 
 

@@ -286,11 +286,18 @@ def operator_calls(g: Graph) -> DataFrame:
 
 def interface_satisfaction(methods: DataFrame, wanted: DataFrame) -> DataFrame:
     """(struct, interface): relational division of methods (struct, method) by wanted (interface, method): structs
-    whose methods hold all of an interface's. Interfaces without methods are met by none."""
-    need = wanted.select("interface", "method").distinct()
-    sizes = need.groupBy("interface").agg(F.count(F.lit(1)).alias("size"))
-    has = methods.select("struct", "method").distinct().join(need, "method").groupBy("struct", "interface").agg(F.count(F.lit(1)).alias("n"))
-    return has.join(sizes, "interface").where("n = size").select("struct", "interface")
+    whose methods hold all of an interface's. Interfaces without methods are met by none.
+
+    Each interface is probed by its rarest method; only the structs that have it are compared on the others, by struct
+    and method together, so a common method is no hot key.
+    """
+    own, need = methods.select("struct", "method").distinct(), wanted.select("interface", "method").distinct()
+    ranked = need.join(own.groupBy("method").agg(F.count(F.lit(1)).alias("n")), "method", "left")
+    probe = ranked.groupBy("interface").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "method")).alias("rare"), F.count(F.lit(1)).alias("size")).where("rare.n > 0")
+    met = probe.select("interface", "size", F.col("rare.method").alias("method")).join(own, "method")
+    rest = met.where("size > 1").withColumnRenamed("method", "probed").join(need, "interface").where("method != probed")
+    whole = rest.join(own, ["struct", "method"]).groupBy("struct", "interface", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size - 1")
+    return met.where("size = 1").select("struct", "interface").union(whole.select("struct", "interface"))
 
 
 def implements_by_structure(g: Graph) -> DataFrame:

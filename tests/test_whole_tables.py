@@ -12,7 +12,7 @@ def rows(spark, sf, table, *columns):
 def test_parents_of_all_orders(spark, sf):
     nation = dict(rows(spark, sf, "customer", "c_custkey", "c_nationkey"))
     orders = rows(spark, sf, "orders", "o_orderkey", "o_custkey")
-    got = [tuple(r) for r in catalog.QUERIES["parent_lookup_whole"](spark, sf).select("origin", "node", "depth").collect()]
+    got = [tuple(r) for r in catalog.QUERIES["parent_lookup"](spark, sf).select("origin", "node", "depth").collect()]
     assert sorted(got) == sorted((f"ORDER:{o}", f"NATION:{nation[c]}", 2) for o, c in orders if c in nation)
 
 
@@ -25,7 +25,7 @@ def test_closure_of_all_orders(spark, sf):
         while y in up:
             y = up[y]
             want.add((x, y))
-    assert {tuple(r) for r in catalog.QUERIES["datalog_recursive_path_whole"](spark, sf).select("a0", "a1").collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["datalog_recursive_path"](spark, sf).select("a0", "a1").collect()} == want
 
 
 def test_division_by_all_orders(spark, sf):
@@ -34,5 +34,5 @@ def test_division_by_all_orders(spark, sf):
     for o, s, p in rows(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_partkey"):
         has[f"SUPPLIER:{s}"].add(brand[p])
         want[f"ORDER:{o}"].add(brand[p])
-    found = [tuple(r) for r in catalog.QUERIES["interface_satisfaction_whole"](spark, sf).select("struct", "interface").collect()]
+    found = [tuple(r) for r in catalog.QUERIES["interface_satisfaction"](spark, sf).select("struct", "interface").collect()]
     assert sorted(found) == sorted((s, o) for s in has for o in want if want[o] <= has[s])
