@@ -323,6 +323,14 @@ def node_context(g: Graph, node_id: str) -> DataFrame:
     return grouped.select("direction", "edge_type", F.col("edge_type").isin(*STRUCTURAL).alias("structural"), "members").orderBy("structural", "direction", "edge_type")
 
 
+def source_preview(g: Graph, contents: DataFrame, node_id: str, around: int = 3, after: int = 12) -> DataFrame:
+    """(file, line, text): the lines of a node's file from `around` before it to `around + after` behind it. contents:
+    (file, content). No row where the node has no file, no line or an unreadable one."""
+    own = g.nodes.where(F.col("id") == node_id).select("file", _number("line").alias("at")).where("file IS NOT NULL AND at IS NOT NULL")
+    lines = own.join(contents, "file").where("content IS NOT NULL").select("file", "at", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    return lines.where((F.col("pos") + 1).between(F.greatest(F.lit(1), F.col("at") - around), F.col("at") + around + after)).select("file", (F.col("pos") + 1).alias("line"), "text").orderBy("line")
+
+
 def subgraph(g: Graph, root: str, depth: int = 1) -> Graph:
     """A level of detail: 0 the contained children, 1 also other edges out of them, 2 also the grandchildren."""
     held = reach(_seed(g, [root]), steps(g.edges, "out", STRUCTURAL), 2 if depth >= 2 else 1).select(F.col("node").alias("id")).distinct()

@@ -106,3 +106,96 @@ def export(guarantees: Iterable[Guarantee]) -> str:
 
 def load(text: str) -> list[Guarantee]:
     return [Guarantee(**(x | {"governs": tuple(x.get("governs", ()))})) for x in json.loads(text)]
+
+
+# --- YAML -----------------------------------------------------------------------------------------------------------
+
+
+def _quoted(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)  # a JSON string is a YAML string
+
+
+def export_yaml(guarantees: Iterable[Guarantee]) -> str:
+    """A YAML document: version and guarantees, rules of several lines as blocks."""
+    out = ["version: 1", "guarantees:"]
+    for x in guarantees:
+        out += [f"  - id: {_quoted(x.id)}", f"    name: {_quoted(x.name)}"]
+        block = "\n" in x.rule and x.rule == x.rule.strip() and not any(c in x.rule for c in "\t\r")
+        out += ["    rule: |-", *(f"      {line}".rstrip() for line in x.rule.split("\n"))] if block else [f"    rule: {_quoted(x.rule)}"]
+        out += [f"    severity: {_quoted(x.severity)}", *(["    governs:", *(f"      - {_quoted(p)}" for p in x.governs)] if x.governs else ["    governs: []"])]
+    return "\n".join(out) + "\n"
+
+
+def _scalar(text: str) -> str:
+    text = text.strip()
+    if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
+        return json.loads(text)
+    if text[:1] == "'" and text[-1:] == "'" and len(text) > 1:
+        return text[1:-1].replace("''", "'")
+    return text.split(" #")[0].rstrip()
+
+
+def load_yaml(text: str) -> list[Guarantee]:
+    """Guarantees from the subset of YAML that such files use: a list of maps with texts, blocks (| or >, with - or +)
+    and lists of texts, in either style."""
+    lines, found, key, at = text.split("\n"), [], None, 0
+    while at < len(lines):
+        raw = lines[at]
+        at += 1
+        line, indent = raw.strip(), len(raw) - len(raw.lstrip())
+        if not line or line.startswith("#") or indent == 0 and not line.startswith("-"):
+            continue
+        if line.startswith("- ") and ":" in line.split('"')[0].split("'")[0]:  # a new guarantee
+            found.append({})
+            line, indent = line[2:].strip(), indent + 2
+        elif line.startswith("-"):
+            found[-1].setdefault(key, []).append(_scalar(line[1:]))
+            continue
+        key, _, value = line.partition(":")
+        key, value = _scalar(key), value.strip()
+        if value[:1] in ("|", ">"):
+            body = []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > indent):
+                body.append(lines[at])
+                at += 1
+            while body and not body[-1].strip():
+                body.pop()
+            margin = min((len(x) - len(x.lstrip()) for x in body if x.strip()), default=0)
+            found[-1][key] = ("\n" if value[0] == "|" else " ").join(x[margin:] for x in body)
+        elif value[:1] == "[":
+            found[-1][key] = [_scalar(x) for x in value.strip("[]").split(",") if x.strip()]
+        elif value:
+            found[-1][key] = _scalar(value)
+    names = {"id", "name", "rule", "severity", "governs"}
+    return [Guarantee(**({"name": x["id"]} | {k: tuple(v) if k == "governs" else v for k, v in x.items() if k in names})) for x in found]
+
+
+def as_nodes(g: Graph, guarantees: Iterable[Guarantee]) -> Graph:
+    """Guarantees as GUARANTEE nodes, their rules and severities in the metadata, with GOVERNS edges to modules."""
+    rules = list(guarantees)
+    rows = [(f"GUARANTEE:{x.id}", "GUARANTEE", x.name, None, None, None, json.dumps({"rule": x.rule, "severity": x.severity, "governs": list(x.governs)})) for x in rules]
+    nodes = g.spark.createDataFrame(rows, g.nodes.schema)
+    edges = governs_edges(g, rules) if rules else g.edges.limit(0)
+    return Graph(nodes, edges.withColumn("src", F.concat(F.lit("GUARANTEE:"), "src")).select(*g.edges.columns))
+
+
+def stored(g: Graph) -> list[Guarantee]:
+    """The guarantees that a graph holds as nodes, by id."""
+    found = []
+    for r in g.nodes.where("node_type = 'GUARANTEE'").select("id", "name", "metadata").orderBy("id").collect():  # rules are few
+        meta = json.loads(r["metadata"])
+        found.append(Guarantee(r["id"].removeprefix("GUARANTEE:"), r["name"], meta["rule"], meta.get("severity", "error"), tuple(meta.get("governs", ()))))
+    return found
+
+
+def create(g: Graph, guarantee: Guarantee) -> Graph:
+    """The graph with a guarantee added or replaced; its rule is checked first."""
+    parse_program(guarantee.rule)
+    new, old = as_nodes(g, [guarantee]), delete(g, guarantee.id)
+    return Graph(old.nodes.unionByName(new.nodes), old.edges.unionByName(new.edges))
+
+
+def delete(g: Graph, guarantee_id: str) -> Graph:
+    """The graph without a guarantee and its GOVERNS edges."""
+    key = "GUARANTEE:" + guarantee_id.removeprefix("GUARANTEE:")
+    return Graph(g.nodes.where(F.col("id") != key), g.edges.where(~((F.col("src") == key) & (F.col("edge_type") == "GOVERNS"))))

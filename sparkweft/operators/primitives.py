@@ -132,6 +132,11 @@ def latency_stats(log: DataFrame, ms: str = "ms") -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("queries"), p[0].alias("p50"), p[1].alias("p95"), p[2].alias("p99"))
 
 
+def slow_queries(log: DataFrame, least: float = 100.0, most: int = 10, ms: str = "ms") -> DataFrame:
+    """The slowest queries of a log that took at least so many milliseconds, the slowest first; ties by their text."""
+    return log.where(F.col(ms) >= least).orderBy(F.desc(ms), "query").limit(most)
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 
@@ -154,3 +159,12 @@ def page_after(df: DataFrame, after: str | None = None, first: int = 50, most: i
             raise ValueError("not a cursor")
         df = df.where(F.col(by) > text.removeprefix("cursor:"))
     return df.orderBy(by).limit(max(1, min(first, most)))
+
+
+#: Characters of an answer, at most.
+RESPONSE_SIZE = 100_000
+
+
+def capped(text: str, most: int = RESPONSE_SIZE) -> str:
+    """A text that says how much of it was left out, if it is longer than an answer may be."""
+    return text if len(text) <= most else f"{text[:most]}\n\n[cut: {len(text) - most:,} more characters; ask for a page with limit and offset]"

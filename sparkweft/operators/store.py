@@ -189,6 +189,49 @@ def classify_versions(main: DataFrame, local: DataFrame, key: str, compared: lis
     return both.select(key, F.when(F.col("in_main").isNull(), "added").when(F.col("in_local").isNull(), "deleted").when(~F.col("a").eqNullSafe(F.col("b")), "modified").otherwise("unchanged").alias("change"))
 
 
+# Metadata keys that make a structural change, by node type, and those of every type.
+COMPARED = {
+    "FUNCTION": ("params", "returnType", "async", "exported", "bodyHash"),
+    "CLASS": ("methods", "properties", "extends", "implements", "exported"),
+    "VARIABLE_DECLARATION": ("kind", "value", "exported"),
+    "MODULE": ("contentHash", "imports", "exports"),
+    "CALL_SITE": ("arguments", "callee"),
+    "DATABASE_QUERY": ("query", "operation", "collection"),
+    "HTTP_REQUEST": ("method", "url", "endpoint"),
+    "ENDPOINT": ("path", "method", "handler"),
+}
+COMPARED_ALWAYS = ("line", "column")
+
+
+def stable_id(nodes: DataFrame) -> Column:
+    """What names a node in every version, by its type: declarations by name and file, variables by line too, places by
+    line and column, outside calls by a hash of what they ask, anything else by all of these."""
+    meta = lambda k: json_attribute(F.col("metadata"), k)
+    kind, line, column = F.col("node_type"), F.coalesce(meta("line"), F.lit("0")), F.coalesce(meta("column"), F.lit("0"))
+    asked = F.coalesce(meta("query"), meta("url"), meta("path"), meta("endpoint"), F.lit(""))
+    return (
+        F.when(kind.isin("FUNCTION", "CLASS", "INTERFACE", "TYPE_ALIAS"), F.concat_ws(":", kind, "name", "file"))
+        .when(kind == "VARIABLE_DECLARATION", F.concat_ws(":", kind, "name", "file", line))
+        .when(kind == "MODULE", F.concat(F.col("name"), F.lit("->global->MODULE->module")))
+        .when(kind == "SERVICE", F.concat(F.lit("SERVICE:"), F.coalesce("name", "file")))
+        .when(kind.isin("CALL_SITE", "SCOPE", "EXPRESSION", "STATEMENT"), F.concat_ws(":", kind, "file", line, column))
+        .when(kind.isin("DATABASE_QUERY", "HTTP_REQUEST", "FILESYSTEM", "NETWORK"), F.concat(kind, F.lit(":"), F.substring(F.sha2(asked, 256), 1, 16)))
+        .otherwise(F.concat_ws(":", kind, "name", "file", meta("line"), meta("column")))
+    )
+
+
+def classify_nodes(main: DataFrame, local: DataFrame) -> DataFrame:
+    """(key, change) of two versions of a graph's nodes, matched by stable_id; of one key's nodes the least id counts.
+    Modified: the name, the place or a metadata key of the type (COMPARED) differs."""
+    value = lambda k: F.coalesce(F.get_json_object("metadata", "$['" + k + "']"), json_attribute(F.col("metadata"), k))
+    own = F.lit(None).cast("string")
+    for kind, keys in COMPARED.items():
+        own = F.when(F.col("node_type") == kind, F.to_json(F.struct(*(value(k).alias(k) for k in keys)))).otherwise(own)
+    shown = F.struct("name", *(value(k).alias(k) for k in COMPARED_ALWAYS), F.when(F.col("node_type").isin("FUNCTION", "CLASS", "VARIABLE_DECLARATION"), F.col("exported")).alias("exported"), own.alias("own"))
+    keyed = lambda df: df.select(stable_id(df).alias("key"), "id", shown.alias("shown")).groupBy("key").agg(F.min(F.struct("id", "shown"))["shown"].alias("shown"))
+    return classify_versions(keyed(main), keyed(local), "key", ["shown"])
+
+
 def replaces_edges(changes: DataFrame, key: str) -> DataFrame:
     """REPLACES edges from the local to the main version of what was modified."""
     return changes.where("change = 'modified'").select(F.concat(F.lit("local:"), key).alias("src"), F.concat(F.lit("main:"), key).alias("dst"), F.lit("REPLACES").alias("edge_type"), F.lit(None).cast("string").alias("metadata"))

@@ -490,3 +490,54 @@ class _Compiler:
 def cypher(g: Graph, text: str) -> DataFrame:
     """The rows of a query. Order holds until the result is transformed further."""
     return _Compiler(g).run(parse(text))
+
+
+@dataclass(frozen=True)
+class Step:
+    operator: str
+    detail: str
+    rows: int | None = None
+
+
+def explain(g: Graph, text: str, count: bool = False) -> list[Step]:
+    """The operators of a query in the order in which they work; with count the rows after scans and expansions, each
+    counted by itself."""
+    q, compiler = parse(text), _Compiler(g)
+    labels = lambda p: f"({p.variable or ''}{''.join(':' + x for x in p.labels)})"
+    after = lambda part: compiler.__class__(g).match(part).count() if count else None
+    first = Query(q.start, (), None, q.items, (), None)
+    out = [Step("NodeScan", labels(q.start), after(first))]
+    for k, (rel, node) in enumerate(q.chain):
+        arrow = {"out": "-[{}]->", "in": "<-[{}]-", "both": "-[{}]-"}[rel.direction].format(("|".join(rel.types) and ":" + "|".join(rel.types)) + (f"*{rel.hops[0]}..{rel.hops[1]}" if rel.hops else ""))
+        out.append(Step("VarLengthExpand" if rel.hops else "Expand", arrow + labels(node), after(Query(q.start, q.chain[: k + 1], None, q.items, (), None))))
+    if q.where is not None:
+        out.append(Step("Filter", shown(q.where), after(Query(q.start, q.chain, q.where, q.items, (), None))))
+    names = ", ".join(n for _, n in q.items)
+    aggregate = any(isinstance(e, Call) for e, _ in q.items)
+    if aggregate:
+        out.append(Step("Aggregate", names))
+    if q.order:
+        out.append(Step("Sort", ", ".join(name_of(e) + (" DESC" if down else "") for e, down in q.order)))
+    if not aggregate:
+        out.append(Step("Project", names))
+    return out if q.limit is None else [*out, Step("Limit", str(q.limit))]
+
+
+def shown(e: Any) -> str:
+    """A condition as text."""
+    match e:
+        case Op("NOT", (a,)):
+            return f"NOT ({shown(a)})"
+        case Op("IS NULL" | "IS NOT NULL" as op, (a,)):
+            return f"{shown(a)} {op}"
+        case Op(op, (a, b)):
+            return f"({shown(a)} {({'STARTS': 'STARTS WITH', 'ENDS': 'ENDS WITH'}).get(op, op)} {shown(b)})"
+        case Literal(v) if isinstance(v, str):
+            return repr(v)
+    return name_of(e)
+
+
+def type_names(text: str) -> tuple[set[str], set[str]]:
+    """The node and the edge types that a query names."""
+    q = parse(text)
+    return {x for p in (q.start, *(n for _, n in q.chain)) for x in p.labels}, {x for r, _ in q.chain for x in r.types}

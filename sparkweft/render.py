@@ -125,7 +125,9 @@ def describe(g: Graph, root: str, depth: int = 1, perspective: str | None = None
     """Notation of a node at a level of detail 0 to 2; folded at 2. At most `most` edges are drawn."""
     part = subgraph(g, root, depth)
     edges = [tuple(r) for r in part.edges.select("src", "dst", "edge_type").orderBy("src", "dst", "edge_type").limit(most).collect()]
-    nodes = {r["id"]: (r["node_type"], r["name"] or r["id"]) for r in part.nodes.select("id", "node_type", "name").limit(2 * most).collect()}
+    drawn = {root, *(x for e in edges for x in e[:2])}  # of these at most 2 * most + 1
+    known = part.nodes.select("id", "node_type", "name").join(g.spark.createDataFrame([(x,) for x in sorted(drawn)], "id string"), "id", "left_semi")
+    nodes = {r["id"]: (r["node_type"], r["name"] or r["id"]) for r in known.collect()}
     block = build(nodes, edges, root, depth, PERSPECTIVES[perspective] if perspective else None)
     return write(replace(block, children=fold(block.children)) if depth == 2 else block, budget)
 

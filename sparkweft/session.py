@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -14,11 +15,16 @@ from .functions.attributes import json_attribute
 from .graph import Graph
 from .operators.code_queries import similar_names
 from .operators.primitives import page
-from .operators.store import Store, in_order
-from .plans.cypher import cypher
+from .operators.store import Store, commit_batch, in_order
+from .plans.cypher import cypher, type_names
+from .plans.cypher import explain as cypher_explain
 from .plans.datalog import Datalog, parse_query
 
 
+#: Queries that a session remembers.
+LOGGED = 10_000
+
+
 @dataclass
 class Answer:
     rows: DataFrame
@@ -42,6 +48,7 @@ class GraphSession:
         self.plugins: dict[str, Callable[[Graph], Graph]] = {}
         self._batch: list[tuple[list[str], DataFrame, DataFrame, list[str]]] | None = None
         self._batch_tags: dict[str, str] = {}
+        self.log: list[tuple[str, float, float]] = []
 
     @property
     def spark(self) -> SparkSession:
@@ -67,10 +74,22 @@ class GraphSession:
 
     def query(self, text: str, language: str = "datalog", limit: int = 10, offset: int = 0, count: bool = False, explain: bool = False, seconds: float | None = None) -> Answer:
         """A page of the rows of a query, or their number; hints where there are none."""
+        began = time.time()
+        try:
+            return self._answer(text, language, limit, offset, count, explain, seconds)
+        finally:
+            self.log.append((text, 1000 * (time.time() - began), began))
+            del self.log[:-LOGGED]
+
+    def query_log(self) -> DataFrame:
+        """(query, ms, at) of the last LOGGED queries: for latency_stats and slow_queries."""
+        return self.spark.createDataFrame(self.log, "query string, ms double, at double")
+
+    def _answer(self, text: str, language: str, limit: int, offset: int, count: bool, explain: bool, seconds: float | None) -> Answer:
         with self.limited(seconds):
             g, plan = self.graph, None
             if language == "cypher":
-                df = cypher(g, text)
+                df, plan = cypher(g, text), cypher_explain(g, text, True) if explain else None
             elif explain:
                 df, plan = Datalog(g, self.rules).explain(text)
             else:
@@ -78,23 +97,26 @@ class GraphSession:
             if count:
                 return Answer(df, count=df.count(), plan=plan)
             ordered = df if language == "cypher" else df.orderBy(*df.columns)
-            rows = ordered.offset(offset).limit(limit)
-            out = Answer(rows, not ordered.offset(offset + limit).limit(1).isEmpty(), plan=plan)
-            if language == "datalog" and rows.isEmpty():
-                out.hints = self.hints(text)
+            # One page and the row after it: they are few, and so the limit on time covers them.
+            found = ordered.offset(offset).limit(limit + 1).collect()
+            out = Answer(self.spark.createDataFrame(found[:limit], df.schema), len(found) > limit, plan=plan)
+            if not found:
+                out.hints = self.hints(text, language)
             return out
 
-    def hints(self, text: str) -> list[str]:
-        """"Did you mean": type names of a Datalog query that the graph lacks, and the nearest it has."""
+    def hints(self, text: str, language: str = "datalog") -> list[str]:
+        """"Did you mean": type names of a query that the graph lacks, and the nearest it has."""
+        if language == "cypher":
+            nodes, edges = type_names(text)
+        else:
+            named = lambda i, *predicates: {x.terms[i].text for body in parse_query(text) for x in body if x.predicate in predicates and x.terms[i].kind == "const"}
+            nodes, edges = named(1, "node", "type"), named(2, "edge", "incoming")
         g, out = self.graph, []
-        for body in parse_query(text):
-            for x in body:
-                for i, column, df in ((1, "node_type", g.nodes), (2, "edge_type", g.edges)):
-                    if x.predicate in (("node", "type") if i == 1 else ("edge", "incoming")) and x.terms[i].kind == "const":
-                        wanted = x.terms[i].text
-                        near = [r[0] for r in similar_names(df, wanted, column).limit(3).collect()]
-                        if wanted not in near:
-                            out.append(f"no {column} {wanted!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
+        for column, df, wanted in (("node_type", g.nodes, nodes), ("edge_type", g.edges, edges)):
+            for name in sorted(wanted):
+                near = [r[0] for r in similar_names(df, name, column).limit(3).collect()]
+                if name not in near:
+                    out.append(f"no {column} {name!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
         return out
 
     @contextmanager
@@ -153,6 +175,15 @@ class GraphSession:
         finally:
             self._batch = None
 
+    @property
+    def pending(self) -> Graph:
+        """The graph as the open batch's commits leave it: scans that see what is not written yet."""
+        if not self._batch:
+            return self.graph
+        files, nodes, edges, protected = in_order(self._batch)
+        old = self.store.read(self.name) if self.store.snapshots(self.name) else Graph(nodes.drop("seq").limit(0), edges.drop("seq").limit(0))
+        return commit_batch(old, files, nodes, edges, protected, "seq").graph
+
     def abort(self) -> None:
         """Forget the commits of the open batch."""
         if self._batch is None:

@@ -58,8 +58,24 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     return notes.select("path", key("id").alias("id"), F.upper(key("type")).alias("kind"), key("status").alias("status"), relates.alias("relates_to"), F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?|\s+\z", "").alias("text"))
 
 
-def discover(spark: SparkSession, root: str, include: list[str], exclude: list[str] = ()) -> DataFrame:
-    """(path, mtime, length) of the files below root that some include glob and no exclude glob matches, by path."""
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(regular expression over relative paths, whether it takes back) of a .gitignore's lines, in order."""
+    out = []
+    for raw in text.split("\n"):
+        line = re.sub(r"(?<!\\)\s+$", "", raw)
+        if not line or line.startswith("#"):
+            continue
+        back, line = line.startswith("!"), line.removeprefix("!").replace("\\ ", " ")
+        folder, body = line.endswith("/"), line.strip("/")
+        anchored = "/" in line.rstrip("/")
+        pattern = glob_pattern(body).removeprefix("^").removesuffix("$")
+        out.append(("^" + ("" if anchored else "(?:.*/)?") + pattern + ("/.*" if folder else "(?:/.*)?") + "$", back))
+    return out
+
+
+def discover(spark: SparkSession, root: str, include: list[str], exclude: list[str] = (), ignore: bool = True) -> DataFrame:
+    """(path, mtime, length) of the files below root that some include glob and no exclude glob matches, by path; hidden
+    files and, with ignore, those that root's .gitignore names are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).drop("content")
     base = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(re.sub("^[a-z]+:/*", "/", base)), "")
@@ -68,9 +84,27 @@ def discover(spark: SparkSession, root: str, include: list[str], exclude: list[s
         hit |= relative.rlike(glob_pattern(g))
     for g in exclude:
         hit &= ~relative.rlike(glob_pattern(g))
+    if ignore:
+        left = F.lit(False)
+        for pattern, back in ignore_rules(_small_text(spark, base + ".gitignore")):  # the last rule that matches decides
+            left = F.when(relative.rlike(pattern), F.lit(not back)).otherwise(left)
+        hit &= ~left & ~relative.rlike(r"(^|/)\.")
     return files.select(relative.alias("path"), F.col("modificationTime").alias("mtime"), "length").where(hit).orderBy("path")
 
 
+def _small_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file, empty where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return ""
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_wire(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Nodes or edges from JSON lines in wire form (id, nodeType, name, file, exported, metadata / src, dst, edgeType)."""
     if kind == "nodes":
