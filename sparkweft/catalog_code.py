@@ -650,3 +650,124 @@ def top_files(spark, d):
     counted = primitives.find_by_type(code(spark, d), "CALL").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "file").limit(5)
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "file")))  # five rows
+
+
+# --- functions, sources, sessions -------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, 'q' || event_id AS query, value AS ms FROM events WHERE value >= 10 ORDER BY value DESC, query LIMIT 10")
+def slow_queries(spark, d):
+    """A log of queries, one an event; the ten slowest are what is asked for."""
+    log = read(spark, d, "events").selectExpr("event_id", "concat('q', event_id) AS query", "value AS ms")
+    return primitives.slow_queries(log, 10.0)
+
+
+@query("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'FUNCTION' WHEN 1 THEN 'MODULE' ELSE 'CALL_SITE' END AS kind,
+CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'modified' ELSE 'unchanged' END WHEN 1 THEN 'modified' ELSE 'unchanged' END AS change, count(*) AS n FROM part GROUP BY 1, 2""")
+def versions_by_type(spark, d):
+    """Functions change with their params, modules with their content hash, call sites not with a note."""
+    kind = "CASE p_partkey % 3 WHEN 0 THEN 'FUNCTION' WHEN 1 THEN 'MODULE' ELSE 'CALL_SITE' END"
+    part = read(spark, d, "part")
+    main = nodes(part, "concat('m', p_partkey)", kind, "concat('p', p_partkey)", "'a.js'", "struct(p_partkey AS line, 'x' AS params, 'h' AS contentHash, 'n' AS note)")
+    local = nodes(part, "concat('l', p_partkey)", kind, "concat('p', p_partkey)", "'a.js'", "struct(p_partkey AS line, CASE WHEN p_partkey % 2 = 0 THEN 'y' ELSE 'x' END AS params, 'k' AS contentHash, 'other' AS note)")
+    found = store.classify_nodes(main, local)
+    shown = F.when(F.col("key").startswith("FUNCTION"), "FUNCTION").when(F.col("key").startswith("CALL_SITE"), "CALL_SITE").otherwise("MODULE")
+    return found.groupBy(shown.alias("kind"), "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'd7' AS file, CAST(i AS INTEGER) AS line, l AS text FROM (SELECT unnest(string_split(text, chr(10))) AS l, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id = 7) WHERE i <= 17")
+def source_preview(spark, d):
+    docs = read(spark, d, "documents").selectExpr("concat('d', doc_id) AS file", "text AS content")
+    g = graph(spark, [nodes(read(spark, d, "documents"), "concat('N', doc_id)", "'FUNCTION'", file="concat('d', doc_id)", meta="struct(2 AS line)")])
+    return C.source_preview(g, docs, "N7")
+
+
+@query("SELECT c_name AS name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(rtrim(regexp_replace(hex(encode(c_name)), '(..)', '\\1 ', 'g')), ' '), lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) AS hash FROM customer")
+def name_hashes(spark, d):
+    from .functions.identity import fnv1a
+
+    return read(spark, d, "customer").select(F.col("c_name").alias("name"), fnv1a(F.col("c_name")).alias("hash"))
+
+
+@query("SELECT 'src/' || n_regionkey AS dir, 'geo' AS namespace, n_name AS base, 'K' || n_nationkey AS receiver, 'run' AS method, 'src/' || n_regionkey || '/' || n_nationkey || '.js->FUNCTION->' || n_name AS semantic FROM nation")
+def path_and_type_functions(spark, d):
+    from .functions import attributes as A
+
+    n = read(spark, d, "nation").selectExpr(f"{_FILE} AS file", "concat('geo:', n_name) AS kind", "concat('K', n_nationkey, '.run') AS call", "n_name")
+    return n.select(A.parent_dir(F.col("file")).alias("dir"), A.namespace(F.col("kind")).alias("namespace"), A.base_name(F.col("kind")).alias("base"), A.receiver(F.col("call")).alias("receiver"), A.method(F.col("call")).alias("method"), A.semantic_id(F.col("file"), F.lit("FUNCTION"), F.col("n_name")).alias("semantic"))
+
+
+@query("SELECT 'h' || o_orderkey AS hash, strftime(o_orderdate, '%Y-%m-%d') AS date, 'C' || o_custkey AS author_name, CAST(count(DISTINCT l_partkey) AS INTEGER) AS files FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def git_log(spark, d):
+    """Logs of one commit an order, with a file for each of its parts, read back."""
+    from .sources.history import parse_git_log
+
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("1\t2\tsrc/"), F.col("l_partkey").cast("string"), F.lit(".js")))), "\n").alias("stat"))
+    both = read(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    head = F.concat_ws("\x1f", F.concat(F.lit("h"), F.col("o_orderkey").cast("string")), F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.lit("c@x.org"), F.lit("message"))
+    found = parse_git_log(both.select(F.concat(head, F.lit("\n\n"), "stat").alias("value")))
+    return found.select("hash", "date", "author_name", F.size("files").alias("files"))
+
+
+@query("SELECT 'kb:' || c_custkey AS id, 'DECISION' AS kind, CASE WHEN c_mktsegment = 'BUILDING' THEN 'superseded' ELSE 'active' END AS status, 'kb:' || (c_custkey + 1) AS first, 'About ' || c_name AS text FROM customer")
+def note_files(spark, d):
+    from .sources.history import parse_notes
+
+    made = read(spark, d, "customer").selectExpr("concat('k/', c_custkey, '.md') AS path", "concat('---\\nid: kb:', c_custkey, '\\ntype: decision\\nstatus: ', CASE WHEN c_mktsegment = 'BUILDING' THEN 'superseded' ELSE 'active' END, '\\nrelates_to: [kb:', c_custkey + 1, ', kb:x]\\n---\\nAbout ', c_name, '\\n') AS value")
+    return parse_notes(made).select("id", "kind", "status", F.col("relates_to")[0].alias("first"), "text")
+
+
+@query(_CODE + "SELECT 'contains' AS archetype, (SELECT count(*) FROM p) + (SELECT count(*) FROM c) AS n UNION ALL SELECT 'flow_out', count(*) FROM r")
+def edges_by_archetype(spark, d):
+    from .render import by_archetype
+
+    return by_archetype(code(spark, d).edges)
+
+
+@query(_CODE + "SELECT 5 AS rows, true AS cut")
+def traverse_capped(spark, d):
+    """The cap is the feature: a traversal that says that it was cut."""
+    found, cut = traverse.traverse(code(spark, d), ["M:3"], 2, types=["CONTAINS"], cap=5)
+    return spark.createDataFrame([(found.count(), cut)], "rows int, cut boolean")
+
+
+@query("SELECT 'kept' AS name, 2 AS version, 0 AS nodes")
+def databases_and_clear(spark, d):
+    """Two databases, of which one is dropped and the other cleared."""
+    from .scratch import scratch_path
+
+    g = graph(spark, [nodes(read(spark, d, "nation"), "concat('n', n_nationkey)", "'NATION'")])
+    db = store.Store(spark, scratch_path(spark, "dbs"))
+    for name in ("kept", "gone"):
+        db.write(name, g)
+    db.drop("gone")
+    db.clear("kept")
+    last = [(name, (m := db.snapshots(name)[-1])["version"], m["nodes"]) for name in db.databases()]
+    return spark.createDataFrame(last, "name string, version int, nodes int")
+
+
+@query("SELECT 'f:' || c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 'new:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def buffered_scan(spark, d):
+    """A scan that sees what an open batch has not written yet."""
+    from .scratch import scratch_path
+    from .session import GraphSession
+
+    c = read(spark, d, "customer")
+    s = GraphSession(store.Store(spark, scratch_path(spark, "buffer")), "g")
+    old = nodes(c, "concat('f:', c_custkey)", "'FUNCTION'", file="concat('src/', c_mktsegment)")
+    new = nodes(c.where("c_mktsegment = 'BUILDING'"), "concat('new:', c_custkey)", "'FUNCTION'", file="concat('src/', c_mktsegment)")
+    empty = spark.createDataFrame([], EDGE_SCHEMA)
+    s.commit([f"src/{r[0]}" for r in c.select("c_mktsegment").distinct().collect()], old, empty)
+    with s.batch():
+        s.commit(["src/BUILDING"], new, empty)
+        found = s.pending.nodes.select("id")
+        s.abort()
+    return found
+
+
+@query(_CODE + "SELECT 'NodeScan' AS operator, (SELECT count(*) FROM nation) AS rows UNION ALL SELECT 'Expand', count(*) FROM p UNION ALL SELECT 'Filter', count(*) FROM p WHERE c_nationkey = 3")
+def cypher_explain(spark, d):
+    from .plans.cypher import explain
+
+    steps = explain(code(spark, d), "MATCH (m:MODULE)-[:CONTAINS]->(f:FUNCTION) WHERE m.id = 'M:3' RETURN f.id", True)
+    return spark.createDataFrame([(s.operator, s.rows) for s in steps if s.rows is not None], "operator string, rows long")
