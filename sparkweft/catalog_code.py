@@ -361,6 +361,26 @@ def type_edges(spark, d):
     return resolve.type_edges(graph(spark, ns), ["EXTENDS", "IMPLEMENTS"]).select("src", "dst", "edge_type")
 
 
+@query("""SELECT 'v:' || o_orderkey AS src, CASE o_orderkey % 4 WHEN 0 THEN 'k:' || n_nationkey WHEN 1 THEN 'k:' || n_nationkey WHEN 2 THEN 'g:' || n_regionkey ELSE 'k:' || n_nationkey END AS dst, 'TYPE_OF' AS edge_type
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'run[in:N' || n_nationkey || ']', 'k:' || n_nationkey, 'RETURNS' FROM nation""")
+def type_hints(spark, d):
+    """Hints that are whole names, of the namespace, imported, and self in a function of the class."""
+    o, n, r = calls(spark, d), read(spark, d, "nation"), read(spark, d, "region")
+    hint = r"CASE o_orderkey % 4 WHEN 0 THEN concat('?Geo\\N', n_nationkey) WHEN 1 THEN concat('null|N', n_nationkey) WHEN 2 THEN 'Far' ELSE 'static' END"
+    here = "concat('src/', n_nationkey, '.php')"
+    ns = [
+        nodes(o, "concat('v:', o_orderkey)", "'VARIABLE'", "'v'", here, f"struct({hint} AS type)").withColumn("id", F.when(F.substring_index("id", ":", -1).cast("long") % 4 == 3, F.concat("id", F.lit("[in:run]"))).otherwise(F.col("id"))),
+        nodes(n, "concat('M:', n_nationkey)", "'MODULE'", "n_name", here, "struct('Geo' AS namespace)"),
+        nodes(n, "concat('k:', n_nationkey)", "'CLASS'", "concat('N', n_nationkey)", here),
+        nodes(n, "concat('run[in:N', n_nationkey, ']')", "'FUNCTION'", "'run'", here, "struct('self' AS return_type)"),
+        nodes(n, "concat('I:', n_nationkey)", "'IMPORT_BINDING'", "'Far'", here, r"struct(concat('Region\\R', n_regionkey) AS source)"),
+        nodes(r, "concat('M:r', r_regionkey)", "'MODULE'", "r_name", "concat('r', r_regionkey, '.php')", "struct('Region' AS namespace)"),
+        nodes(r, "concat('g:', r_regionkey)", "'CLASS'", "concat('R', r_regionkey)", "concat('r', r_regionkey, '.php')"),
+    ]
+    found = resolve.hinted_types(graph(spark, ns))
+    return found.select(F.regexp_replace("src", r"^(v:\d+)\[.*", "$1").alias("src"), "dst", "edge_type")
+
+
 @query("SELECT 'c:' || c_custkey AS src, 's:' || s_suppkey AS dst FROM customer JOIN supplier ON c_custkey = s_suppkey")
 def bridges(spark, d):
     ns = [nodes(read(spark, d, "customer"), "concat('c:', c_custkey)", "'CLASS'", "concat('K', c_custkey)", "'a.kt'", "struct('kotlin' AS language)"), nodes(read(spark, d, "supplier"), "concat('s:', s_suppkey)", "'CLASS'", "concat('K', s_suppkey)", "'b.java'", "struct('java' AS language)")]

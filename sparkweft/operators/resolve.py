@@ -256,6 +256,40 @@ def type_edges(g: Graph, kinds: Iterable[str] = tuple(TYPE_KEYS), across: bool =
     return _edges(best, F.col("kind"), "types")
 
 
+# Type hints that name no declaration, in lower case, and those that name the class around them.
+HINT_PRIMITIVES = ("string", "int", "integer", "float", "double", "bool", "boolean", "array", "void", "mixed", "callable", "object", "iterable", "never", "null", "false", "true", "parent")
+HINT_SELF = ("self", "static")
+
+
+def hinted_types(g: Graph) -> DataFrame:
+    """TYPE_OF from variables (metadata type) and RETURNS from functions (return_type) to the declaration that the hint
+    names: of a union the first part that is no primitive, without a leading '?'; self and static are the class of the
+    function. A name with a backslash is whole; any other is sought in the file's namespace, then as the file's import
+    of that name or, without one, as a global name."""
+    kind = F.col("node_type")
+    hint = F.when(kind == "VARIABLE", _meta("type")).when(kind == "FUNCTION", _meta("return_type"))
+    parts = F.transform(F.split(F.regexp_replace(F.trim(hint), r"^\?", ""), r"\|"), lambda x: F.trim(x))
+    own = lambda x: F.lower(x).isin(*HINT_SELF)
+    named = F.get(F.filter(parts, lambda x: (x != "") & (own(x) | ~F.lower(x).isin(*HINT_PRIMITIVES))), F.lit(0))
+    hinted = _nodes(g, "VARIABLE", "FUNCTION").select(F.col("id").alias("src"), "node_type", "file", named.alias("name"), F.regexp_extract("id", r"\[in:([^\],]+)", 1).alias("inside")).where("name IS NOT NULL")
+    # A variable stands in a function, which stands in a class; a function stands in its class.
+    classes = _nodes(g, "FUNCTION").select("file", F.col("name").alias("inside"), F.regexp_extract("id", r"\[in:([^\],]+)", 1).alias("of")).where("of != ''").groupBy("file", "inside").agg(F.min("of").alias("of"))
+    around = F.when(F.col("node_type") == "FUNCTION", F.nullif(F.col("inside"), F.lit(""))).otherwise(F.col("of"))
+    asked = hinted.join(classes, ["file", "inside"], "left").withColumn("name", F.when(own(F.col("name")), around).otherwise(F.col("name"))).where("name IS NOT NULL")
+    spaces = _nodes(g, "MODULE").groupBy("file").agg(F.min(F.coalesce(_meta("namespace"), F.lit(""))).alias("space"))
+    imports = _nodes(g, "IMPORT_BINDING").select("file", "name", _meta("source").alias("source")).groupBy("file", "name").agg(F.min("source").alias("source"))
+    whole = lambda space, name: F.when(F.coalesce(space, F.lit("")) == "", name).otherwise(F.concat(space, F.lit("\\"), name))
+    declared = _nodes(g, "CLASS", "INTERFACE", "TRAIT", "ENUM").select("id", "file", "name", _meta("namespace").alias("own")).join(spaces, "file", "left")
+    index = _index(declared.select("id", whole(F.coalesce("own", "space"), F.col("name")).alias("key")), "key")
+    placed = asked.join(spaces, "file", "left").join(imports, ["file", "name"], "left")
+    qualified = F.col("name").contains("\\")
+    first = placed.withColumn("key", F.when(qualified, F.col("name")).otherwise(whole(F.col("space"), F.col("name"))))
+    second = placed.where(~qualified).withColumn("key", F.coalesce("source", "name"))
+    found = _first([x.join(index, "key").select("src", "dst") for x in (first, second)])
+    typed = found.join(hinted.select("src", "node_type"), "src")
+    return _edges(typed, F.when(kind == "VARIABLE", "TYPE_OF").otherwise("RETURNS"), "type-hints")
+
+
 def bridges(g: Graph, one: str, two: str) -> DataFrame:
     """BRIDGES_TO between classes of one name in two languages."""
     side = lambda lang, column: _nodes(g, "CLASS").where(_meta("language") == lang).select(F.col("id").alias(column), "name")
