@@ -1,8 +1,8 @@
 """Quality classifier by compression: zstandard with a dictionary of good and one of bad text.
 
 A text's compressed sizes under the two dictionaries, which are of equal size, differ by how much of it either has
-seen. The normalised difference alone is calibrated to a probability, by logistic regression on labelled rows that the
-dictionaries of their fold have not seen.
+seen. The difference a byte of plain text alone is calibrated to a probability, by a logistic curve with three bends
+fitted on labelled rows that the dictionaries of their fold have not seen.
 """
 
 from __future__ import annotations
@@ -25,19 +25,37 @@ DICT_BYTES, LEVEL, THRESHOLD = 112_640, 3, 0.3
 #: Bytes compressed at a time: small, so that the dictionary tells more than the text's own beginning.
 BLOCK = 1 << 11
 FOLDS = 4
+#: Bytes of average text that every text is filled up with: a short text tells little, a text that repeats itself is
+#: small under both dictionaries and tells that it is not like the good.
+FILL = 64
+#: Shares of the bad rows at which the curve may bend.
+BENDS = (0.3, 0.6, 0.9)
 
 
 @dataclass(frozen=True)
 class Model:
+    """Dictionaries; the average difference a byte; the weights and the bends of the curve."""
+
     good: bytes
     bad: bytes
-    weights: tuple[float, float]
+    average: float
+    weights: tuple[float, ...]
+    bends: tuple[float, ...] = ()
     level: int = LEVEL
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The probability of label 1 for each text; null and empty texts get that of no evidence."""
-        z = self.weights[0] + self.weights[1] * difference(texts, self.good, self.bad, self.level)
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        """The probability of label 1 for each text; null and empty texts get that of average text."""
+        d = normalised(differences(texts, self.good, self.bad, self.level), self.average)
+        return 1 / (1 + np.exp(-np.clip(_curve(d, self.bends) @ np.array(self.weights), -35, 35)))
+
+
+def normalised(found: np.ndarray, average: float) -> np.ndarray:
+    """The difference a byte of rows (difference, bytes), each filled up with FILL bytes of average text."""
+    return (found[:, 0] + FILL * average) / (found[:, 1] + FILL)
+
+
+def _curve(d: np.ndarray, bends: tuple[float, ...]) -> np.ndarray:
+    return np.stack([np.ones(len(d)), d, *(np.maximum(d - k, 0) for k in bends)], axis=1)
 
 
 @functools.lru_cache(maxsize=8)
@@ -54,14 +72,14 @@ def _size(compressor: zstandard.ZstdCompressor, raw: bytes) -> int:
     return sum(len(compressor.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK))
 
 
-def difference(texts: list[str | None], good: bytes, bad: bytes, level: int = LEVEL) -> np.ndarray:
-    """(y - x) / (y + x) of the compressed sizes x under the good and y under the bad dictionary; 0 for null and empty texts."""
+def differences(texts: list[str | None], good: bytes, bad: bytes, level: int = LEVEL) -> np.ndarray:
+    """Rows of the compressed size under the bad less that under the good dictionary, and the plain size; 0 for null and
+    empty texts."""
     a, b = _compressor(good, level), _compressor(bad, level)
-    out = np.zeros(len(texts))
+    out = np.zeros((len(texts), 2))
     for i, text in enumerate(texts):
         if raw := (text or "").encode():
-            x, y = _size(a, raw), _size(b, raw)
-            out[i] = (y - x) / (y + x)
+            out[i] = _size(b, raw) - _size(a, raw), len(raw)
     return out
 
 
@@ -142,7 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
         side[r["quality"]].append(r["text"].encode())
     share = (len(side[1]) + 1) / (len(side[0]) + len(side[1]) + 2)
     if min(map(len, side.values())) < 2:
-        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0))
+        return Model(b"", b"", 0.0, (float(np.log(share / (1 - share))), 0.0))
     x, y = [], []
     for fold in range(FOLDS):
         rest = {k: [t for i, t in enumerate(v) if i % FOLDS != fold] for k, v in side.items()}
@@ -150,11 +168,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
             good, bad = _dictionaries(rest[0], rest[1])
             for k, v in side.items():
                 held = [t.decode() for t in v[fold::FOLDS]]
-                x.append(difference(held, good, bad))
+                x.append(differences(held, good, bad))
                 y.append(np.full(len(held), float(k)))
-    d = np.concatenate(x)
+    found, label = np.concatenate(x), np.concatenate(y)
+    average = float((found[:, 0] / found[:, 1]).mean())
+    d = normalised(found, average)
+    bends = tuple(float(k) for k in np.unique(np.quantile(d[label == 0], BENDS)))
     good, bad = _dictionaries(side[0], side[1])
-    return Model(good, bad, _logistic(np.stack([np.ones(len(d)), d], axis=1), np.concatenate(y)))
+    return Model(good, bad, average, _logistic(_curve(d, bends), label), bends)
 
 
 def hash_id(doc_id: int) -> int:

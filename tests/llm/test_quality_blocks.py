@@ -46,7 +46,8 @@ def test_scores_by_hand(spark):
                 size += len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=c, write_content_size=False, write_dict_id=False).compress(raw[i : i + quality.BLOCK]))
             sizes.append(size)
         x, y = sizes
-        z = model.weights[0] + model.weights[1] * ((y - x) / (y + x) if raw else 0.0)
+        d = (y - x + 64 * model.average) / (len(raw) + 64)
+        z = model.weights[0] + model.weights[1] * d + sum(w * max(d - k, 0) for w, k in zip(model.weights[2:], model.bends, strict=True))
         assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-z)), rel_tol=1e-9, abs_tol=1e-12)
 
 
