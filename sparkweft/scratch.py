@@ -13,6 +13,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkweft-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sparkweft/{name}-{uuid.uuid4().hex}"
