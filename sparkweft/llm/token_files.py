@@ -241,6 +241,26 @@ def read_token_files(manifest: DataFrame, ids: bool = True, first: int | None =
     return _read(manifest, first, last, columns, schema)
 
 
+def read_pages(manifest: DataFrame, first: int | None = None, last: int | None = None, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens[, ids array<long>]) of first <= doc_id <= last through Spark's Parquet reader: of each file
+    only the row groups whose statistics, and in them the pages whose entries in the page index, meet the bounds.
+
+    An empty manifest gives an empty table. The list of files has one entry a writing task.
+    """
+    spark = manifest.sparkSession
+    files = [r["path"] for r in manifest.select("path").collect()]
+    columns = "doc_id long, start_in_file long, n_tokens long" + (", ids array<long>" if ids else "")
+    rows = spark.read.schema(columns).parquet(*files) if files else spark.createDataFrame([], columns).withColumn("_metadata", F.struct(F.lit("").alias("file_name")))
+    if first is not None:
+        rows = rows.where(F.col("doc_id") >= first)
+    if last is not None:
+        rows = rows.where(F.col("doc_id") <= last)
+    named = rows.select("*", F.col("_metadata.file_name").alias("file"))
+    starts = manifest.select(F.substring_index("path", "/", -1).alias("file"), "start")
+    out = named.join(F.broadcast(starts), "file")  # one row a file
+    return out.select("doc_id", (F.col("start") + F.col("start_in_file")).alias("start"), "n_tokens", *(["ids"] if ids else []))
+
+
 def token_digests(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the stored ids."""
     return _read(manifest, None, None, ["doc_id", "start", "n_tokens", "ids_crc32"], "doc_id long, start long, n_tokens long, ids_crc32 long")

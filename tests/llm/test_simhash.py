@@ -119,3 +119,32 @@ def test_query(spark, sf):
     got = queries.op2_simhash(spark, sf).collect()
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(k, f"{f:016x}", want[f]) for k, f in docs} and len(got) == len(docs)
     assert simhash.fingerprints(spark.range(1).select("id", F.lit("x").alias("text")), key="id").first()["fp"] is not None
+
+
+def test_hot_buckets_stay_small(spark, monkeypatch):
+    """A bucket far over SLICE: no task gathers more than two slices of it, and its links are those of all pairs."""
+    monkeypatch.setattr(simhash, "SLICE", 128)
+    rng = np.random.default_rng(9)
+    low = int(rng.integers(0, 1 << 43))  # one exact segment and one Golay word for all, the third at random
+    fps = sorted({low | int(x) << 43 for x in rng.integers(0, 1 << 21, 3000)})
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    sizes, gathered, tiled = [], simhash._gathered, simhash._tiled
+
+    def watched(f):
+        def run(rows):
+            out = f(rows)
+            sizes.append(out.agg(F.max(F.size("xs") + F.size("ys"))).first()[0] or 0)
+            return out
+
+        return run
+
+    monkeypatch.setattr(simhash, "_gathered", watched(gathered))
+    monkeypatch.setattr(simhash, "_tiled", watched(tiled))
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    assert len(sizes) == 2 and max(sizes) < 4 * 128
+    least = plain_components(list(enumerate(fps)))
+    groups = {}
+    for f, s in zip(fps, signed, strict=True):
+        groups.setdefault(least[f], set()).add(found.get(s, s))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)

@@ -135,3 +135,23 @@ def test_queries(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for f in (queries.op1_byte_bpe, queries.op4_token_files, queries.op5_matroska):
         assert f(spark, sf).count() == n
+
+
+def test_pages_are_read_by_their_index(spark, tmp_path):
+    """Spark's reader gives the same rows, and its scan of a narrow range reads few of the rows of a file."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('word', id, ' and more words of text') AS text")
+    manifest = token_files.write_token_files(docs.repartition(1), path=f"file://{tmp_path}/tokens")
+    whole = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids"]) for r in token_files.read_token_files(manifest).collect()}
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids"]) for r in token_files.read_pages(manifest).collect()}
+    assert got == whole and len(got) == 6000
+    some = token_files.read_pages(manifest, 1234, 1240)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids"]) for r in some.collect()} == {k: v for k, v in whole.items() if 1234 <= k <= 1240}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,1234)" in plan and "LessThanOrEqual(doc_id,1240)" in plan
+    assert token_files.read_pages(manifest, 1234, 1240, ids=False).columns == ["doc_id", "start", "n_tokens"]
+    none = token_files.write_token_files(docs.limit(0), path=f"file://{tmp_path}/none")
+    assert token_files.read_pages(none).count() == 0
+    import pyarrow.parquet as pq
+
+    file = pq.ParquetFile(manifest.first()["path"].removeprefix("file://"))
+    assert all(file.metadata.row_group(0).column(k).has_offset_index for k in range(4)) and file.metadata.row_group(0).column(0).has_column_index
