@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one only where it is unset, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkweft-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sparkweft/{name}-{uuid.uuid4().hex}"
@@ -78,3 +82,36 @@ def md5_bits(*parts: Column | int | str) -> Column:
 def uniform(*parts: Column | int | str) -> Column:
     """A number between 0 and 1, both left out, from md5_bits of the parts."""
     return (md5_bits(*parts).cast("double") + 0.5) / float(1 << 52)
+
+
+#: Bits of a bitmap and of one of its rows: 8 MB in all, whatever it is made of.
+BITS, ROW_BITS = 1 << 26, 1 << 13
+
+
+def bitmap(slots: DataFrame) -> DataFrame:
+    """(chunk, bits): at most BITS / ROW_BITS rows that tell which numbers of the column slot (0 to BITS - 1) occur. A
+    sieve of bounded size: rows that it lets through must still be joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for lows in batch.column(1):
+                bits = np.zeros(ROW_BITS // 8, np.uint8)
+                at = lows.values.to_numpy(zero_copy_only=False)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                made.append(bits.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["chunk", "bits"])
+
+    parted = slots.select(F.expr(f"slot div {ROW_BITS}").alias("chunk"), F.expr(f"slot % {ROW_BITS}").alias("low"))
+    gathered = parted.groupBy("chunk").agg(F.collect_set("low").alias("lows"))  # at most ROW_BITS a row
+    return settled(gathered.mapInArrow(run, "chunk long, bits binary"), "bitmap")
+
+
+def sieved(df: DataFrame, slot: Column, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose slot is in a bitmap, and the others. The bitmap is broadcast: its size is bounded."""
+    columns = df.columns
+    found = df.withColumn("__slot", slot).withColumn("chunk_", F.expr(f"__slot div {ROW_BITS}"))
+    met = found.join(F.broadcast(bits.toDF("chunk_", "bits_")), "chunk_", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(bits_, CAST(1 + (__slot % {ROW_BITS}) div 8 AS INT), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.expr("CAST(__slot % 8 AS INT)"))) != 0, F.lit(False))
+    return met.where(hit).select(*columns), met.where(~hit).select(*columns)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import arrow_limits, by_batch, release, settled
+from .common import BITS, ROW_BITS, arrow_limits, bitmap, by_batch, release, settled
 
 #: Words of a shingle; the least similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -69,7 +69,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(text: str | None) -> tuple[list[int], bytes]:
-    """The text's BANDS keys and the last byte of each minimum; none without words."""
+    """The text's BANDS keys; and four bytes of each key, then the last byte of each minimum. None without words."""
     every = hashes(text)
     if not len(every):
         return [], b""
@@ -78,12 +78,12 @@ def sketch(text: str | None) -> tuple[list[int], bytes]:
         least = np.minimum(least, ((every[k : k + _CHUNK] ^ _FLIPS) * _FACTORS).min(axis=1))
     raw, step = least.tobytes(), 8 * ROWS
     keys = np.array([xxhash.xxh64_intdigest(raw[i * step : (i + 1) * step], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
-    return keys, least.astype(np.uint8).tobytes()
+    return keys, np.array(keys, np.int64).astype(np.uint32).tobytes() + least.astype(np.uint8).tobytes()
 
 
-def candidates(bucket: int, low: int, keys: np.ndarray, sigs: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(band: int, low: int, keys: np.ndarray, sigs: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, equal minima) of the pairs of a tile that need their sets compared. A pair that shares several buckets
-    counts in the first of its keys; members with equal values in a column of apart do not meet, where it has two."""
+    counts in the band of the first of them; members with equal values in a column of apart do not meet, where it has two."""
     n, found = len(keys), []
     split = [c for c in apart.T if (c != c[0]).any()]
     for i in range(n - 1):
@@ -95,7 +95,7 @@ def candidates(bucket: int, low: int, keys: np.ndarray, sigs: np.ndarray, apart:
             ok = equal >= LIKELY
             if not ok.any():
                 continue
-            ok &= keys[i, (keys[rest] == keys[i]).argmax(axis=1)] == bucket
+            ok &= (keys[rest] == keys[i]).argmax(axis=1) == band
         for c in split:
             ok &= c[rest] != c[i]
         j = np.flatnonzero(ok)
@@ -111,8 +111,8 @@ def _members(column: pa.ListArray) -> Iterator[tuple]:
     all_ = column.flatten()
     base = marks[0]
     prints = all_.field("print").to_pylist()
-    keys = all_.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-    sigs = np.frombuffer(b"".join(all_.field("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    raw = np.frombuffer(b"".join(all_.field("sig").to_pylist()), np.uint8).reshape(-1, (4 + ROWS) * BANDS)
+    keys, sigs = np.ascontiguousarray(raw[:, : 4 * BANDS]).view(np.uint32), raw[:, 4 * BANDS :]
     apart = np.stack([all_.field(c).to_numpy(zero_copy_only=False) for c in ("side", "half")], axis=1)
     sets = all_.field("set").to_pylist() if all_.type.get_field_index("set") >= 0 else None
     for a, b in zip(marks[:-1], marks[1:], strict=True):
@@ -120,8 +120,8 @@ def _members(column: pa.ListArray) -> Iterator[tuple]:
         yield prints[s], keys[s], sigs[s], apart[s], sets[s] if sets else None
 
 
-_TILE = ["bucket", "low", "high"]
-_SKETCHED = "bucket long, low int, high int, side int, print binary, keys array<long>, sig binary"
+_TILE = ["bucket", "band", "low", "high"]
+_SKETCHED = "bucket long, band int, low int, high int, side int, print binary, sig binary"
 
 
 def _involved(tiles: DataFrame) -> DataFrame:
@@ -133,16 +133,17 @@ def _involved(tiles: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column, picked, whose = batch.column(3), [], []
-            places = zip(*(batch.column(k).to_pylist() for k in range(2)), column.offsets.to_pylist(), _members(column), strict=False)
-            for row, (bucket, low, at, (_, keys, sigs, apart, _)) in enumerate(places):
-                i, j, _ = candidates(bucket, low, keys, sigs, apart)
+            column, picked, whose = batch.column(4), [], []
+            base = column.offsets[0].as_py()
+            places = zip(*(batch.column(k).to_pylist() for k in (1, 2)), column.offsets.to_pylist(), _members(column), strict=False)
+            for row, (band, low, at, (_, keys, sigs, apart, _)) in enumerate(places):
+                i, j, _ = candidates(band, low, keys, sigs, apart)
                 some = np.unique(np.concatenate([i, j]))
-                picked.append(some + at - column.offsets[0].as_py())
+                picked.append(some + at - base)
                 whose.append(np.full(len(some), row))
             at, rows = np.concatenate(picked), pa.array(np.concatenate(whose))
             chosen = column.flatten().take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(3)), *(chosen.field(c) for c in names[3:])], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(4)), *(chosen.field(c) for c in names[4:])], names)
 
     return tiles.mapInArrow(run, _SKETCHED)
 
@@ -156,8 +157,8 @@ def _linked(tiles: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             out: list[tuple[bytes, bytes]] = []
-            for bucket, low, (prints, keys, sigs, apart, sets) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _members(batch.column(3)), strict=True):
-                i, j, equal = candidates(bucket, low, keys, sigs, apart)
+            for band, low, (prints, keys, sigs, apart, sets) in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _members(batch.column(4)), strict=True):
+                i, j, equal = candidates(band, low, keys, sigs, apart)
                 whole = [np.frombuffer(s, np.uint64) for s in sets]
                 root = list(range(len(prints)))
                 for k in np.argsort(-equal, kind="stable").tolist():
@@ -175,8 +176,8 @@ def _linked(tiles: DataFrame) -> DataFrame:
 
 
 def _gathered(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row a tile with at least two members. By hash of its keys, in more parts than a session's: tiles differ in size."""
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("members")).where(F.size("members") > 1).select("bucket", "low", "high", "members")
+    """One row a tile with at least two members."""
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("members")).where(F.size("members") > 1).select(*_TILE, "members")
 
 
 def _sliced(parts: Column, salt: int) -> tuple[Column, Column]:
@@ -190,24 +191,27 @@ def links(owners: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
     owners: (print, keys, sig, fp). A bucket over SLICE members, or with over SLICE_BYTES of sets, is cut into tiles.
     """
-    shuffles = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = owners.select("print", F.explode("keys").alias("bucket"))
+    keyed = owners.select("print", F.posexplode("keys").alias("band", "bucket"))
     counts = settled(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    members = settled(keyed.join(counts, "bucket").select("bucket", "n", "print"), "members")
+    members = settled(keyed.join(counts, "bucket").select("bucket", "band", "n", "print"), "members")
     parts = F.ceil(F.col("n") / float(SLICE))
     own, met = _sliced(parts, 1)
-    placed = members.join(owners.select("print", "keys", "sig"), "print").withColumn("own", own).withColumn("met", F.explode(met))
-    tiled = placed.select("bucket", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), F.when(F.col("own") > F.col("met"), 1).otherwise(0).alias("side"), F.lit(0).alias("half"), "print", "keys", "sig")
-    banded = _involved(_gathered(tiled, _TILE, ["side", "half", "print", "keys", "sig"]).repartition(shuffles))
+    placed = members.join(owners.select("print", "sig"), "print").withColumn("own", own).withColumn("met", F.explode(met))
+    tiled = placed.select("bucket", "band", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), F.when(F.col("own") > F.col("met"), 1).otherwise(0).alias("side"), F.lit(0).alias("half"), "print", "sig")
+    banded = _involved(_gathered(tiled, _TILE, ["side", "half", "print", "sig"]))
     needed = settled(banded.unionByName(_by_fingerprint(owners)), "needed")
     release(counts, members)
 
-    sets = settled(_sets(docs, needed.select("print").distinct(), text), "sets")
+    sets = settled(_sets(docs, settled(needed.select("print").distinct(), "wanted"), text), "sets")
     sizes = needed.join(sets.select("print", F.length("set").alias("bytes")), "print").groupBy(*_TILE).agg(F.ceil(F.sum("bytes") / float(SLICE_BYTES)).alias("parts"))
-    own, met = _sliced(F.col("parts"), 2)
-    full = needed.join(sets, "print").join(settled(sizes, "sizes"), _TILE).withColumn("own", own).withColumn("met", F.explode(met))
+    # Few tiles are too large for one task; all others need no look at their size.
+    large = settled(sizes.where("parts > 1"), "large")
+    own, met = _sliced(F.coalesce("parts", F.lit(1)), 2)
+    full = needed.join(sets, "print")
+    full = full.join(large, _TILE, "left") if large.limit(1).count() else full.withColumn("parts", F.lit(1))
+    full = full.withColumn("own", own).withColumn("met", F.explode(met))
     full = full.withColumn("a", F.least("own", "met")).withColumn("b", F.greatest("own", "met")).withColumn("half", F.when(F.col("own") > F.col("met"), 1).otherwise(0))
-    found = settled(_linked(_gathered(full, [*_TILE, "a", "b"], ["side", "half", "print", "keys", "sig", "set"]).repartition(shuffles)).distinct(), "found")
+    found = settled(_linked(_gathered(full, [*_TILE, "a", "b"], ["side", "half", "print", "sig", "set"])).distinct(), "found")
     release(needed, sets)
     return found
 
@@ -221,14 +225,36 @@ def _by_fingerprint(owners: DataFrame) -> DataFrame:
     near = simhash.links(reps)
     apart = near.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select("x", "y")
     pairs = settled(alike.unionByName(apart), "pairs").select(F.xxhash64("x", "y").alias("bucket"), F.explode(F.array("x", "y")).alias("print"))
-    return pairs.join(owners.select("print", "keys", "sig"), "print").select("bucket", F.lit(PAIR).alias("low"), F.lit(PAIR).alias("high"), F.lit(0).alias("side"), "print", "keys", "sig")
+    return pairs.join(owners.select("print", "sig"), "print").select("bucket", F.lit(PAIR).alias("band"), F.lit(PAIR).alias("low"), F.lit(PAIR).alias("high"), F.lit(0).alias("side"), "print", "sig")
+
+
+def _slot(print_: bytes) -> int:
+    return int.from_bytes(print_[:8], "little") % BITS
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(print, set) of the wanted prints: the sorted hashes of the whole text's shingles."""
-    identity_of = F.udf(identity, "binary", useArrow=True)
-    held = docs.select(identity_of(F.col(text)).alias("print"), F.col(text).alias("text")).join(wanted, "print", "left_semi").groupBy("print").agg(F.first("text").alias("text"))
-    return by_batch(held, {"print": pa.binary(), "set": pa.binary()}, "print binary, set binary", lambda prints, texts: [prints, [hashes(x).tobytes() for x in texts]])
+    """(print, set) of the wanted prints: the sorted hashes of the whole text's shingles. A bitmap of bounded size
+    keeps most other texts from being moved."""
+    slots = by_batch(wanted.select("print"), {"slot": pa.int64()}, "slot long", lambda prints: [[_slot(x) for x in prints]])
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in bitmap(slots).collect():
+        bits[r["chunk"] * ROW_BITS // 8 :][: ROW_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    arrow_limits(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch.column(0).to_pylist():
+                print_ = identity(x)
+                slot = _slot(print_)
+                if shared.value[slot >> 3] >> (slot & 7) & 1:
+                    made.append((print_, hashes(x).tobytes()))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], ["print", "set"])
+
+    held = docs.select(text).mapInArrow(run, "print binary, set binary")
+    return held.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("set").alias("set"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
