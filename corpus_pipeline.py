@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweft.llm import bpe, mixing, near_copies, quality
-from sparkweft.llm.common import release, settled, table
+from sparkweft.llm.common import BITS, bitmap, release, settled, sieved, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,11 @@ def keep_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     chosen = settled(first, "chosen")
     columns = docs.columns
     if chosen.where("rows > 1 or __keep_id is null").limit(1).isEmpty() and chosen.groupBy("__keep_id").count().where("count > 1").limit(1).isEmpty():
-        return docs.join(chosen.select("__keep_id"), docs["doc_id"] == F.col("__keep_id"), "left_semi").select(*columns)
+        # Only rows that a sieve of bounded size takes for copies are joined.
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+        copies = found.where("doc_id != component_id").select(slot.alias("slot"))
+        open_, kept = sieved(docs.where("doc_id is not null"), slot, bitmap(copies))
+        return kept.unionByName(open_.join(chosen.select("__keep_id"), F.col("doc_id") == F.col("__keep_id"), "left_semi").select(*columns))
     # Some ids are repeated or null: then the text says which rows are meant, and one row of each group is taken.
     prints = docs.withColumn("__print", F.udf(near_copies.identity, "binary", useArrow=True)(F.col("text")))
     meant = prints.join(chosen, prints["doc_id"].eqNullSafe(F.col("__keep_id")) & (F.col("__print") == F.col("__keep_print")))
