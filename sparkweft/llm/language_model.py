@@ -2,9 +2,9 @@
 
 Every word that occurs often enough has a place in a tree of three levels, so the vocabulary grows with the corpus, and
 with it the width of the softmaxes and the rows of weights. log P(token | before) is the sum of a softmax over classes,
-one over a class's parts and one over a part's words: log-linear models on the last word, for classes and parts also on
-the word before it (a skip), for classes on both together, hashed into rows of weights, with the corpus frequencies as
-default distribution. Rarer words form a few kinds by their look: a kind is a class, predicted like any other, and a word has
+one over a class's parts and one over a part's words: log-linear models on the last word, for classes also on the word
+before it (a skip) and on both together, hashed into rows of weights, with the corpus frequencies as default
+distribution. Rarer words form a few kinds by their look: a kind is a class, predicted like any other, and a word has
 its smoothed share of the kind's count. As context all words of the head stand for themselves. Probabilities sum to one.
 """
 
@@ -28,11 +28,11 @@ END = " "
 #: Words whose counts every worker holds, at most, and their longest: a bound on what is sent. All others are joined.
 HEAD, HEAD_BYTES = 1 << 18, 64
 #: Occurrences from which a word of the head has a place of its own in the tree; kinds of other words.
-MODEL_COUNT, KINDS = 64, 6
+MODEL_COUNT, KINDS = 128, 6
 #: Rounds of training (each takes its own share of the documents), tokens of an update, learning rate, largest weight.
 ROUNDS, UPDATE, RATE, LARGEST = 4, 4096, 0.3, 12.0
 #: Tokens of a slice, about: what one task learns from in a round. Slices go by the data alone, never by the cluster.
-SLICE_TOKENS = 1 << 21
+SLICE_TOKENS = 1 << 20
 #: Rows of distinct words that a worker gathers before it adds them up; pieces that weights are summed in.
 COUNTED, PIECES = 600_000, 64
 _PUNCTUATION, _SYMBOLS = np.zeros(256, bool), np.zeros(256, bool)
@@ -228,9 +228,9 @@ class Model:
 
     @classmethod
     def shapes(cls, lex: Lexicon) -> list[tuple[int, int]]:
-        """Tables of the class factor (last, skip, both), of the part factor (last, skip) and of the word factor (last)."""
+        """Tables of the class factor (last, skip, both), of the part factor and of the word factor (last)."""
         rows, s = 1 << cls.row_bits(lex.side), lex.side
-        return [(rows, KINDS + s)] * 3 + [(rows, s)] * 3
+        return [(rows, KINDS + s)] * 3 + [(rows, s)] * 2
 
     @classmethod
     def n_weights(cls, lex: Lexicon) -> int:
@@ -246,7 +246,7 @@ class Model:
         mixed = parts[0].astype(np.uint32) * _MIX[0]
         for p, m in zip(parts[1:], _MIX[1:], strict=False):
             mixed = (mixed ^ mixed >> np.uint32(15)) + p.astype(np.uint32) * m
-        return ((mixed ^ mixed >> np.uint32(13)) * _MIX[2] >> np.uint32(32 - self.bits)).astype(np.int64)
+        return ((mixed ^ mixed >> np.uint32(13)) * _MIX[2] >> np.uint32(32 - self.bits)).astype(np.int32)
 
     def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple:
         """(class, rank in the tree or -1, rows of the class factor, of the part factor and of the word factor) of
@@ -260,9 +260,9 @@ class Model:
         rank = np.where((ids >= KINDS) & (ids < KINDS + lex.placed), ids - KINDS, -1)
         klass = np.where(rank >= 0, KINDS + rank // (s * s), np.where(ids < KINDS, ids, lex.kinds[np.clip(ids - KINDS, 0, max(0, len(lex.kinds) - 1))] if len(lex.kinds) else 0))
         at = np.flatnonzero(rank >= 0)
-        r, x, y = rank[at], last[at], skip[at]
+        r, x = rank[at], last[at]
         part, word = r // (s * s), (r // s) + s  # words of a part have other numbers than parts
-        return klass, rank, [self._hash(last), self._hash(skip), self._hash(last, skip)], [self._hash(part, x), self._hash(part, y + lex.start)], [self._hash(word, x)]
+        return klass, rank, [self._hash(last), self._hash(skip), self._hash(last, skip)], [self._hash(part, x)], [self._hash(word, x)]
 
     @staticmethod
     def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ class Model:
         out, classes = np.zeros(len(ids)), np.empty(len(ids), np.int64)
         for a, b, at, rows, came, default in self._steps(ids, starts):
             classes[a:b] = came[0]
-            for where, first, r, c, d in zip((np.arange(b - a), at, at), (0, 3, 5), rows, came, default, strict=True):
+            for where, first, r, c, d in zip((np.arange(b - a), at, at), (0, 3, 4), rows, came, default, strict=True):
                 if len(c):
                     p = self._p(self.tables[first : first + len(r)], r, d)
                     out[a + where] += np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30))
@@ -308,7 +308,7 @@ class Model:
         gradients add up."""
         squares = [np.zeros_like(t) for t in self.tables]
         for _, _, _, rows, came, default in self._steps(ids, starts):
-            for first, r, c, d in zip((0, 3, 5), rows, came, default, strict=True):
+            for first, r, c, d in zip((0, 3, 4), rows, came, default, strict=True):
                 if len(c):
                     g = self._p(self.tables[first : first + len(r)], r, d)
                     g[np.arange(len(c)), c] -= 1

@@ -238,9 +238,8 @@ def test_model_by_plain_loops():
         if 0 <= rank < lex.placed:
             a, b = rank // (s * s), rank // s
             parts, members = [sum(n[(a * s + j) * s : (a * s + j + 1) * s]) for j in range(s)], n[b * s : (b + 1) * s]
-            mid = [hashed(a, last), hashed(a, skip + lex.start)]
-            want += log_softmax([log(c, sum(parts)) + sum(float(t[r, k]) for t, r in zip(model.tables[3:5], mid, strict=True)) for k, c in enumerate(parts)], b % s)
-            want += log_softmax([log(c, sum(members)) + float(model.tables[5][hashed(b + s, last), k]) for k, c in enumerate(members)], rank % s)
+            want += log_softmax([log(c, sum(parts)) + float(model.tables[3][hashed(a, last), k]) for k, c in enumerate(parts)], b % s)
+            want += log_softmax([log(c, sum(members)) + float(model.tables[4][hashed(b + s, last), k]) for k, c in enumerate(members)], rank % s)
         assert classes[i] == klass and abs(got[i] - want) < 1e-3
     for _ in range(5):
         model.learn(ids, starts)
