@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import md5_bits, settled, uniform
+from .common import BITS, bitmap, md5_bits, settled, sieved, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a size that name its class below the first, so a class is 6 % wide and sizes below 32 have their own; and
 #: hash parts of a class. Constants, so that the mix does not depend on the session's settings.
 STEP_BITS, PARTS = 4, 16
+#: Sources, the largest, whose usual numbers of copies are sent to every task; rows of the others are joined.
+SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -99,19 +101,56 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit:
 
     Rows are sampled as in with_copies. Those that share doc_id, size and source are alike to the sampler: their
     copies are summed and dealt out evenly over the different rows, in the order of a hash of all their columns. Only
-    rows without a doc_id and repeated rows can be such; equal ones are counted before they are shuffled.
+    rows without a doc_id and repeated rows can be such; equal ones are counted before they are shuffled. Texts are
+    moved only where two bitmaps do not tell the number of copies.
     """
     keep = docs.columns
-    sized = docs.withColumn("__mix_key", F.struct(F.col("doc_id").alias("a"), n_words(F.col("text")).alias("b"), F.col("source").alias("c")))
-    got = _copies(sized.select(F.col("__mix_key.a").alias("key"), F.col("__mix_key.b").alias("size"), F.col("__mix_key.c").alias("source")), weights, limit, seed)
+    keys = docs.select(F.struct(F.col("doc_id").alias("a"), n_words(F.col("text")).alias("b"), F.col("source").alias("c")).alias("key"))
+    got = _copies(keys.select(F.col("key.a").alias("key"), F.col("key.b").alias("size"), F.col("key.c").alias("source")), weights, limit, seed)
     taken = got.groupBy(F.struct(F.col("key").alias("a"), F.col("size").alias("b"), F.col("source").alias("c")).alias("__mix_key"))
-    taken = settled(taken.agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_n")).where("__mix_copies > 0"), "taken")
-    mixed = sized.join(taken.where("__mix_n = 1"), "__mix_key").select(*keep, "__mix_copies")
-    if taken.where("__mix_n > 1").limit(1).count():
-        mixed = mixed.unionByName(_dealt_out(sized.join(taken.where("__mix_n > 1"), "__mix_key"), keep))
+    taken = settled(taken.agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_n")), "taken")
+    told, open_ = _told(docs, taken)
+    sized = open_.withColumn("__mix_key", F.struct(F.col("doc_id").alias("a"), n_words(F.col("text")).alias("b"), F.col("source").alias("c")))
+    some = taken.where("__mix_copies > 0")
+    mixed = told.unionByName(sized.join(some.where("__mix_n = 1"), "__mix_key").select(*keep, "__mix_copies"))
+    if some.where("__mix_n > 1").limit(1).count():
+        mixed = mixed.unionByName(_dealt_out(sized.join(some.where("__mix_n > 1"), "__mix_key"), keep))
     return mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*keep)
 
 
+def _told(docs: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose __mix_copies (over 0) follow from two bitmaps, and rows that must be joined with taken.
+
+    A source's rows are taken floor(rate) or ceil(rate) times. Its most frequent number is the usual one, its second
+    the other one. The first bitmap holds all keys but those taken the usual number of times; the second those that the
+    first holds, or seems to hold, and that are not taken the other number of times. So what the first lacks is usual,
+    what only the first has is the other, and what both have is joined, as are the rows of all but the SOURCES largest
+    sources. Texts that are told stay where they are.
+    """
+    keep = docs.columns
+    slot = lambda doc_id, source: F.pmod(F.xxhash64(doc_id, source), F.lit(BITS))
+    single = taken.where("__mix_n = 1").groupBy(F.col("__mix_key.c").alias("source"), "__mix_copies").agg(F.count(F.lit(1)).alias("n"))
+    ranked = single.groupBy("source").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("n", "__mix_copies")), asc=False).alias("found"))
+    usual = ranked.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(SOURCES)
+    second = F.get("found", F.lit(1))["__mix_copies"]
+    usual = settled(usual.select("source", F.element_at("found", 1)["__mix_copies"].alias("__mix_usual"), second.alias("__mix_other")), "usual")
+    known = F.broadcast(usual.withColumnRenamed("source", "__mix_source"))
+    placed = taken.join(known, F.col("__mix_key.c").eqNullSafe(F.col("__mix_source")))
+    single_row, copies = F.col("__mix_n") == 1, F.col("__mix_copies")
+    placed = placed.select(
+        slot(F.col("__mix_key.a"), F.col("__mix_key.c")).alias("slot"),
+        (single_row & (copies == F.col("__mix_usual"))).alias("usual"), (single_row & F.coalesce(copies == F.col("__mix_other"), F.lit(False))).alias("other"),
+    )
+    first = bitmap(placed.where("not usual").select("slot"))
+    second = bitmap(sieved(placed.where("not other"), F.col("slot"), first)[0].select("slot"))
+    rows = docs.join(known, docs["source"].eqNullSafe(F.col("__mix_source")), "left").withColumn("__mix_at", slot(F.col("doc_id"), F.col("source")))
+    unknown, rows = rows.where("__mix_usual is null"), rows.where("__mix_usual is not null")
+    some, plain = sieved(rows, F.col("__mix_at"), first)
+    open_, others = sieved(some, F.col("__mix_at"), second)
+    told = plain.select(*keep, F.col("__mix_usual").alias("__mix_copies")).unionByName(others.select(*keep, F.col("__mix_other").alias("__mix_copies")))
+    return told.where("__mix_copies > 0"), open_.select(*keep).unionByName(unknown.select(*keep))
+
+
 def _dealt_out(shared: DataFrame, keep: list[str]) -> DataFrame:
     """Each different row of a shared key once, with the copies that it takes of the key's sum: those that fall on its
     places in the order of the key's rows. Only hashes and counts pass through the window."""

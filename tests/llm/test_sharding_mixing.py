@@ -100,6 +100,34 @@ def test_mix_documents(spark, odd, sf):
     assert Counter(r["doc_id"] for r in twice) == Counter({k: v for k, v in sums.items() if v})
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40 + int(id % 60)), x -> sha2(concat(id, '-', x), 512))) AS text", "nullif(concat('s', id % 5), 's4') AS source")
+    docs = docs.unionByName(docs.where("doc_id % 400 = 7"))
+    rows = docs.select("doc_id").collect()
+    copies = Counter()
+    for r in mixing.with_copies(docs).collect():
+        copies[r["key"]] += r["copies"]
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def written():
+        bus.waitUntilEmpty()
+        return store.executorList(False).apply(0).totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where no table is small
+    try:
+        before = written()
+        got = Counter(r["doc_id"] for r in mixing.mix_documents(docs).select("doc_id", "text").collect())
+        assert written() - before < 2 << 20 < docs.selectExpr("sum(length(text))").first()[0] / 4
+        assert len(rows) == 2005 and got == +copies
+        # Bitmaps so small that they tell nearly nothing, and sources beyond the largest: such rows are joined.
+        for bits, sources in ((64, 10), (1 << 14, 2)):
+            monkeypatch.setattr(mixing, "BITS", bits)
+            monkeypatch.setattr(mixing, "SOURCES", sources)
+            assert Counter(r["doc_id"] for r in mixing.mix_documents(docs).select("doc_id", "text").collect()) == +copies
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_large_sources_come_near(spark):
     docs = spark.range(30_000).selectExpr("id AS doc_id", "repeat('w ', int(1 + pow(id % 97, 1.7))) AS text", "concat('s', id % 4) AS source")
     taken, want = Counter(), {}
