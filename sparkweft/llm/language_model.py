@@ -35,6 +35,8 @@ ROUNDS, UPDATE, RATE, LARGEST = 4, 4096, 0.3, 12.0
 SLICE_TOKENS = 1 << 20
 #: Rows of distinct words that a worker gathers before it adds them up; pieces that weights are summed in.
 COUNTED, PIECES = 600_000, 64
+#: Lines of a row's gradients that are added layer by layer, at most; the result does not hang on it but for rounding.
+LAYERS = 8
 _PUNCTUATION, _SYMBOLS = np.zeros(256, bool), np.zeros(256, bool)
 _PUNCTUATION[list(b".,:;!?\"')")] = True
 _SYMBOLS[list(b"*$&%#|+=<>/\\_-@")] = True
@@ -264,19 +266,19 @@ class Model:
         part, word = r // (s * s), (r // s) + s  # words of a part have other numbers than parts
         return klass, rank, [self._hash(last), self._hash(skip), self._hash(last, skip)], [self._hash(part, x)], [self._hash(word, x)]
 
-    @staticmethod
-    def _softmax(scores: np.ndarray) -> np.ndarray:
-        """Weights are bounded (LARGEST), so that no score is too large to be raised."""
-        np.exp(scores, out=scores)
-        scores *= 1 / scores.sum(axis=1, keepdims=True)
-        return scores
-
-    def _p(self, tables: list[np.ndarray], rows: list[np.ndarray], default: np.ndarray) -> np.ndarray:
+    def _raised(self, tables: list[np.ndarray], rows: list[np.ndarray], default: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Raised scores and their sums: weights are bounded (LARGEST), so that no score is too large to be raised."""
         z = tables[0].take(rows[0], axis=0)
         for t, r in zip(tables[1:], rows[1:], strict=True):
             z += t.take(r, axis=0)
         z += default
-        return self._softmax(z)
+        np.exp(z, out=z)
+        return z, z.sum(axis=1)
+
+    def _p(self, tables: list[np.ndarray], rows: list[np.ndarray], default: np.ndarray) -> np.ndarray:
+        z, sums = self._raised(tables, rows, default)
+        z *= (1 / sums)[:, None]
+        return z
 
     def _steps(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple]:
         """For each UPDATE tokens: where they are, then for each factor its tables' numbers, rows, probabilities, what
@@ -299,8 +301,8 @@ class Model:
             classes[a:b] = came[0]
             for where, first, r, c, d in zip((np.arange(b - a), at, at), (0, 3, 4), rows, came, default, strict=True):
                 if len(c):
-                    p = self._p(self.tables[first : first + len(r)], r, d)
-                    out[a + where] += np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30))
+                    z, sums = self._raised(self.tables[first : first + len(r)], r, d)
+                    out[a + where] += np.log10(np.maximum(z[np.arange(len(c)), c] / sums, 1e-30))
         return out, classes
 
     def learn(self, ids: np.ndarray, starts: np.ndarray) -> None:
@@ -318,11 +320,7 @@ class Model:
 
     @staticmethod
     def _step(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
-        ordered = rows[order]
-        cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total = np.add.reduceat(grad.take(order, axis=0), cuts, axis=0)
-        where = ordered[cuts]
+        where, total = _row_sums(rows, grad)
         s = square.take(where, axis=0)
         s += total * total
         square[where] = s
@@ -333,6 +331,28 @@ class Model:
         table[where] -= total
 
 
+def _row_sums(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows (fewer than 65,536, as are their numbers), most frequent first, and the sum of grad over each.
+
+    Whole lines of grad are added: one after the other for a row that occurs over LAYERS times, else the second lines
+    of all rows at once, then the third ones, and so on.
+    """
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    ordered = rows[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    counts = np.diff(cuts, append=len(rows))
+    by = np.argsort((len(rows) - counts).astype(np.uint16), kind="stable")
+    cuts, counts = cuts[by], counts[by]
+    total = grad.take(order[cuts], axis=0)
+    often = int((counts > LAYERS).sum())
+    for k in range(often):
+        total[k] = grad.take(order[cuts[k] : cuts[k] + counts[k]], axis=0).sum(axis=0)
+    for k in range(1, LAYERS):
+        upto = int((counts > k).sum())
+        total[often:upto] += grad.take(order[cuts[often:upto] + k], axis=0)
+    return ordered[cuts], total
+
+
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a column of documents in a row, and where each begins."""
     raw = column.to_pylist()

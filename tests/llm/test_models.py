@@ -194,6 +194,21 @@ def invented_lexicon(n=3000, least=100):
     return L.Lexicon(pa.array([b"w%d" % i for i in range(n)]), counts, kinds, placed, int(counts.sum()), n, other, other_words)
 
 
+@pytest.mark.parametrize("most", [1, 7, 300, 4095])
+def test_row_sums(most):
+    rng = np.random.default_rng(most)
+    rows = np.minimum(rng.integers(0, 1 << 12, 4096), rng.integers(0, most + 1, 4096)).astype(np.int32)  # from one row to some thousands
+    grad = rng.normal(size=(4096, 5)).astype(np.float32)
+    want = np.zeros((1 << 12, 5))
+    np.add.at(want, rows, grad)
+    where, total = L._row_sums(rows, grad)
+    counts = np.bincount(rows, minlength=1 << 12)[where]
+    assert sorted(where.tolist()) == np.unique(rows).tolist() and (np.diff(counts) <= 0).all() and counts[0] > L.LAYERS
+    assert np.abs(total - want[where]).max() < 1e-3
+    one, total = L._row_sums(np.array([3], np.int32), grad[:1])
+    assert one.tolist() == [3] and (total == grad[:1]).all()
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     lex = invented_lexicon()
