@@ -58,3 +58,26 @@ def test_division_of_equal_sets_is_done_once(spark):
     store, arr = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
     stages = store.stageList(None, False, False, arr, spark._jvm.java.util.ArrayList())
     assert max(stages.apply(i).shuffleWriteRecords() for i in range(min(40, stages.size()))) < 20_000  # 630,000 when each pair was
+
+
+def test_routes_and_templates(spark):
+    """Every request and route over a few parts, free ones on both sides, against all pairs compared."""
+    rng = random.Random(5)
+    text = lambda free: "/" + "/".join(rng.choice(["a", "b", rng.choice(free)]) for _ in range(rng.randint(0, 3)))
+    asked = {f"q{i}": (rng.choice(["get", "POST"]), text(["c", "${x}", ":id"])) for i in range(150)}
+    routes = {f"r{i:03}": (rng.choice(["GET", "post"]), text([":id", "{x}", "*", "${x}"])) for i in range(60)}
+    parts = lambda t: [x for x in t.split("/") if x]
+    free = lambda x: x in (":id", "{x}", "*", "${x}")
+    want = []
+    for q, (how, url) in asked.items():
+        a, best = parts(url), []
+        for r, (way, path) in routes.items():
+            b = parts(path)
+            if how.upper() == way.upper() and len(a) == len(b) and all(x == y or free(x) or free(y) for x, y in zip(a, b)):
+                best.append((a != b, sum(map(free, b)), r))
+        if best:
+            want.append((q, min(best)[2]))
+    made = lambda of, c: spark.createDataFrame([(k, *v) for k, v in of.items()], f"id string, method string, {c} string")
+    found = R.match_routes(made(asked, "url"), made(routes, "path"))
+    assert pairs(found, "request", "route") == sorted(want)
+    assert "SortMergeJoin" not in moved(found)
