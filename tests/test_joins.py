@@ -81,3 +81,14 @@ def test_routes_and_templates(spark):
     found = R.match_routes(made(asked, "url"), made(routes, "path"))
     assert pairs(found, "request", "route") == sorted(want)
     assert "SortMergeJoin" not in moved(found)
+
+
+def test_overrides_are_dispatched_once(spark):
+    """A call of two methods that one method overrides reaches it once; a hot base reaches all of its overrides."""
+    classes, up = [f"K{i}" for i in range(30)], [("K1", "K0"), ("K2", "K1")] + [(f"K{i}", "K0") for i in range(3, 30)]
+    g = Graph.of(
+        spark, [(k, "CLASS") for k in classes] + [(f"{k}.m", "METHOD", "m") for k in classes],
+        [(a, b, "EXTENDS") for a, b in up] + [(k, f"{k}.m", "HAS_METHOD") for k in classes] + [("c1", "K0.m", "CALLS"), ("c1", "K1.m", "CALLS"), ("c2", "K0.m", "CALLS"), ("c2", "K0.m", "CALLS")],
+    )
+    sent = [(a, b) for a, b, t in pairs(R.virtual_dispatch(g), "src", "dst", "edge_type") if t == "DISPATCHES_TO"]
+    assert sent == sorted((c, f"K{i}.m") for c in ("c1", "c2") for i in range(1, 30))
