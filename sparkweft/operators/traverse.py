@@ -137,7 +137,7 @@ def upward(seeds: DataFrame, g: Graph, types: Iterable[str], goal: Column, stop:
 def chain(seeds: DataFrame, moves: DataFrame, most: int = 20) -> DataFrame:
     """(origin, node, depth, cycle): follow the least next node of each node; `cycle` marks a node met before, where
     the chain ends."""
-    nexts = moves.groupBy("src").agg(F.min("dst").alias("dst"))
+    nexts = settled(moves.groupBy("src").agg(F.min("dst").alias("dst")), "nexts")  # read in every step
     rows = settled(seeds.select("origin", "node", F.lit(0).alias("depth"), F.lit(False).alias("cycle")), "chain")
     out = [rows]
     for depth in range(1, most + 1):

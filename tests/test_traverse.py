@@ -125,3 +125,11 @@ def test_simple_trace_counts_repeated_edges(spark):
     nodes = [("v", "VARIABLE", "v")] + 3 * [("e", "EXPRESSION", "sum")] + [("f", "EXPRESSION", "sum"), ("one", "LITERAL", "1"), ("two", "LITERAL", "2")]
     g = Graph.of(spark, nodes, 2 * [("v", "e", "ASSIGNED_FROM")] + [("v", "f", "ASSIGNED_FROM"), ("e", "one", "DERIVES_FROM"), ("e", "two", "DERIVES_FROM")])
     assert rows(Q.simple_trace(g, "v", fan=2), "id", "depth", "source") == [("e", 1, None), ("e", 1, None), ("one", 2, "literal"), ("two", 2, "literal"), ("v", 0, None)]
+
+
+def test_chain_reads_its_moves_once(spark, cycle, monkeypatch):
+    written = []
+    monkeypatch.setattr(T, "settled", lambda df, name, real=T.settled: (written.append(name), real(df, name))[1])
+    seeds = spark.createDataFrame([("A", "A")], "origin string, node string")
+    assert rows(T.chain(seeds, cycle.edges.where("edge_type = 'E'").select("src", "dst")), "node", "depth") == [("A", 0), ("A", 2), ("B", 1)]
+    assert written.count("nexts") == 1
