@@ -108,7 +108,7 @@ def import_edges(g: Graph, style: str = "path", prefix: str = "") -> DataFrame:
         path = F.regexp_replace(F.regexp_replace("file", r"\.\w+$", ""), "/(__init__|mod|lib|index)$", "")
         named = modules.select("id", (F.regexp_replace(path, "/", ".") if style == "dotted" else F.regexp_replace(path, "^src/", "")).alias("key"))
         index = declared.union(named)
-    return _edges(keyed.join(_index(index, "key"), "key"), "IMPORTS_FROM", f"import-{style}")
+    return _edges(meet(keyed, _index(index, "key"), "key"), "IMPORTS_FROM", f"import-{style}")
 
 
 def include_edges(g: Graph, include_paths: Iterable[str] = ()) -> DataFrame:
@@ -303,7 +303,7 @@ def annotation_edges(g: Graph) -> DataFrame:
     """ANNOTATION_RESOLVES_TO from an attribute to the annotation type of its name."""
     own = _nodes(g, "ATTRIBUTE", "ANNOTATION").select(F.col("id").alias("src"), F.substring_index(F.regexp_replace("name", "^@", ""), ".", -1).alias("name"))
     index = _index(_nodes(g, "ANNOTATION_TYPE", "INTERFACE", "CLASS").select("id", "name"), "name")
-    return _edges(own.join(index, "name").where("src != dst"), "ANNOTATION_RESOLVES_TO", "annotations")
+    return _edges(meet(own, index, "name").where("src != dst"), "ANNOTATION_RESOLVES_TO", "annotations")
 
 
 def template_edges(g: Graph) -> DataFrame:
@@ -311,14 +311,14 @@ def template_edges(g: Graph) -> DataFrame:
     primary = _index(_nodes(g, "TEMPLATE").where(_meta("primary_template").isNull()).select("id", F.col("name").alias("template")), "template")
     uses = _nodes(g, "TEMPLATE_USE", "TYPE_REFERENCE").select(F.col("id").alias("src"), F.coalesce(_meta("template_name"), F.regexp_extract("name", r"^([\w:]+)\s*<", 1)).alias("template"))
     special = _nodes(g, "TEMPLATE").select(F.col("id").alias("src"), _meta("primary_template").alias("template")).where("template IS NOT NULL")
-    return _edges(uses.join(primary, "template"), "INSTANTIATES_TEMPLATE", "templates").union(_edges(special.join(primary, "template"), "SPECIALIZES", "templates"))
+    return _edges(meet(uses, primary, "template"), "INSTANTIATES_TEMPLATE", "templates").union(_edges(special.join(primary, "template"), "SPECIALIZES", "templates"))
 
 
 def operator_calls(g: Graph) -> DataFrame:
     """CALLS from uses of an overloaded operator to the member of the left type, else to the free operator."""
     uses = _nodes(g, "OPERATOR_CALL", "EXPRESSION").select(F.col("id").alias("src"), F.concat(F.lit("operator"), _meta("operator")).alias("name"), F.coalesce(_meta("receiverType"), _meta("left_type")).alias("class")).where("name IS NOT NULL")
     own = _nodes(g, "METHOD", "FUNCTION").where(F.col("name").startswith("operator")).select("id", "name", F.coalesce(_meta("className"), class_of(F.col("id"))).alias("class"))
-    return _edges(_first([uses.join(_index(own.where("class IS NOT NULL"), "name", "class"), ["name", "class"]), uses.join(_index(own.where("class IS NULL"), "name"), "name")]), "CALLS", "operators")
+    return _edges(_first([meet(uses, _index(own.where("class IS NOT NULL"), "name", "class"), "name", "class"), meet(uses, _index(own.where("class IS NULL"), "name"), "name")]), "CALLS", "operators", distinct=False)
 
 
 #: Structs of a method, about, that stand in one list.
@@ -382,9 +382,9 @@ def behaviours(g: Graph) -> DataFrame:
     """IMPLEMENTS from modules to the behaviour they declare, and from Protocol.Type modules to the protocol."""
     modules = _nodes(g, "MODULE").select("id", "name", _meta("behaviour").alias("behaviour"))
     index = _index(modules.select("id", "name"), "name")
-    declared = modules.select(F.col("id").alias("src"), F.col("behaviour").alias("name")).join(index, "name")
+    declared = modules.select(F.col("id").alias("src"), F.col("behaviour").alias("name")).transform(meet, index, "name")
     protocols = _nodes(g, "PROTOCOL", "MODULE").where((F.col("node_type") == "PROTOCOL") | (_meta("protocol") == "true"))
-    named = modules.where(F.col("name").contains(".")).select(F.col("id").alias("src"), F.regexp_replace("name", r"\.[^.]*$", "").alias("name")).join(_index(protocols.select("id", "name"), "name"), "name")
+    named = modules.where(F.col("name").contains(".")).select(F.col("id").alias("src"), F.regexp_replace("name", r"\.[^.]*$", "").alias("name")).transform(meet, _index(protocols.select("id", "name"), "name"), "name")
     return _edges(declared.union(named.select(*declared.columns)).where("src != dst"), "IMPLEMENTS", "behaviours")
 
 
@@ -442,152 +442,6 @@ def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     mask = lambda parts: F.transform(parts, free)
     blank = lambda parts, m: F.zip_with(parts, m, lambda p, q: F.when(q, "").otherwise(p))  # noqa: E731  no part is empty
     left_out = lambda parts, m, o: F.array_join(blank(blank(parts, m), o), "/")
-    side = lambda lang, column: _nodes(g, "CLASS").where(_meta("language") == lang).select(F.col("id").alias(column), "name")
-    return _edges(side(one, "src").join(side(two, "dst"), "name"), "BRIDGES_TO", "bridge")
-
-
-def annotation_edges(g: Graph) -> DataFrame:
-    """ANNOTATION_RESOLVES_TO from an attribute to the annotation type of its name."""
-    own = _nodes(g, "ATTRIBUTE", "ANNOTATION").select(F.col("id").alias("src"), F.substring_index(F.regexp_replace("name", "^@", ""), ".", -1).alias("name"))
-    index = _index(_nodes(g, "ANNOTATION_TYPE", "INTERFACE", "CLASS").select("id", "name"), "name")
-    return _edges(own.join(index, "name").where("src != dst"), "ANNOTATION_RESOLVES_TO", "annotations")
-
-
-def template_edges(g: Graph) -> DataFrame:
-    """INSTANTIATES_TEMPLATE from uses, SPECIALIZES from specializations, to the primary template of the name."""
-    primary = _index(_nodes(g, "TEMPLATE").where(_meta("primary_template").isNull()).select("id", F.col("name").alias("template")), "template")
-    uses = _nodes(g, "TEMPLATE_USE", "TYPE_REFERENCE").select(F.col("id").alias("src"), F.coalesce(_meta("template_name"), F.regexp_extract("name", r"^([\w:]+)\s*<", 1)).alias("template"))
-    special = _nodes(g, "TEMPLATE").select(F.col("id").alias("src"), _meta("primary_template").alias("template")).where("template IS NOT NULL")
-    return _edges(uses.join(primary, "template"), "INSTANTIATES_TEMPLATE", "templates").union(_edges(special.join(primary, "template"), "SPECIALIZES", "templates"))
-
-
-def operator_calls(g: Graph) -> DataFrame:
-    """CALLS from uses of an overloaded operator to the member of the left type, else to the free operator."""
-    uses = _nodes(g, "OPERATOR_CALL", "EXPRESSION").select(F.col("id").alias("src"), F.concat(F.lit("operator"), _meta("operator")).alias("name"), F.coalesce(_meta("receiverType"), _meta("left_type")).alias("class")).where("name IS NOT NULL")
-    own = _nodes(g, "METHOD", "FUNCTION").where(F.col("name").startswith("operator")).select("id", "name", F.coalesce(_meta("className"), class_of(F.col("id"))).alias("class"))
-    return _edges(_first([uses.join(_index(own.where("class IS NOT NULL"), "name", "class"), ["name", "class"]), uses.join(_index(own.where("class IS NULL"), "name"), "name")]), "CALLS", "operators")
-
-
-#: Structs of a method, about, that stand in one list.
-LISTED = 4096
-
-
-def interface_satisfaction(methods: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(struct, interface): relational division of methods (struct, method) by wanted (interface, method): structs
-    whose methods hold all of an interface's. Interfaces without methods are met by none.
-
-    Structs of equal methods are divided as one, and so are interfaces; what they stand for is put back at the end. An
-    interface takes the list of structs of its rarest method to the list of its second rarest; only the structs in both
-    are compared on the others. Lists of common methods are cut by hash, into a power of two, so that a part of one list
-    lies in whole parts of a longer one.
-    """
-    group = lambda df, member, own: settled(df.groupBy(member).agg(F.array_sort(F.collect_set("method")).alias(own), F.bool_or(F.col("method").isNull()).alias("odd")), "sets")
-    structs, interfaces = group(methods.select("struct", "method"), "struct", "own"), group(wanted.select("interface", "method"), "interface", "need").where("not odd")
-    sets = structs.groupBy("own").agg(F.min("struct").alias("s"), F.count(F.lit(1)).alias("n"))
-    asked = settled(interfaces.groupBy("need").agg(F.min("interface").alias("i"), F.count(F.lit(1)).alias("n")), "asked")
-    held = settled(sets.select("s", F.explode("own").alias("method")), "held")
-    counts = held.groupBy("method").agg(F.count(F.lit(1)).alias("c"))
-    parts = F.when(F.col("c") <= LISTED, 1).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("c") / LISTED)))).cast("int")
-    counts = settled(counts.withColumn("parts", parts), "counts")
-    lists = settled(meet(held, counts, "method").groupBy("method", "parts", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("s").alias("ss")), "lists")
-
-    # Each interface's methods, the rarest first; an interface with a method that no struct has drops out.
-    ranked = meet(asked.select("i", "n", F.size("need").alias("size"), F.explode("need").alias("method")), counts, "method")
-    ranked = ranked.groupBy("i", "n", "size").agg(F.array_sort(F.collect_list(F.struct("c", "method", "parts"))).alias("by")).where(F.size("by") == F.col("size"))
-    second = F.get("by", F.lit(1))
-    probe = ranked.select("i", "n", "size", F.col("by")[0]["method"].alias("method"), second["method"].alias("next"), second["parts"].alias("cut"), F.slice(F.col("by")["method"], 3, 1 << 30).alias("rest"))
-    first = probe.join(lists.select("method", "ss").hint("shuffle_hash"), "method")
-    cut = F.when(F.col("cut") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform("ss", lambda x: F.pmod(F.xxhash64(x), F.col("cut")).cast("int"))))
-    carried = first.where("size > 1").select("i", "n", "rest", F.col("next").alias("method"), "cut", "ss", F.explode(cut).alias("part"))
-    carried = carried.withColumn("ss", F.when(F.col("cut") == 1, F.col("ss")).otherwise(F.filter("ss", lambda x: F.pmod(F.xxhash64(x), F.col("cut")) == F.col("part"))))
-    both = carried.join(lists.select("method", "part", F.col("ss").alias("others")).hint("shuffle_hash"), ["method", "part"]).select("i", "n", "rest", F.explode(F.array_intersect("ss", "others")).alias("s"))
-    both = settled(both, "both")
-    left = both.where(F.size("rest") > 0)
-    whole = left.select("i", "n", "s", F.size("rest").alias("k"), F.explode("rest").alias("method")).join(held, ["s", "method"]).groupBy("i", "n", "s", "k").agg(F.count(F.lit(1)).alias("f")).where("f = k")
-    single = first.where("size = 1").select("i", "n", F.explode("ss").alias("s"))
-    pairs = settled(reduce(DataFrame.union, [x.select("i", "n", "s") for x in (single, both.where(F.size("rest") == 0), whole)]), "pairs")
-
-    members = settled(interfaces.join(asked.where("n > 1").select("need", "i"), "need").select("i", "interface"), "members")
-    met = pairs.where("n = 1").select("s", F.col("i").alias("interface"))
-    if not members.isEmpty():
-        met = settled(met.union(product(members, pairs.where("n > 1"), "i", "interface", "s").select("s", "interface")), "met")
-    alike = settled(structs.join(sets.where("n > 1").select("own", "s"), "own").select("s", "struct"), "alike")
-    if alike.isEmpty():
-        return met.select(F.col("s").alias("struct"), "interface")
-    shared = alike.select("s").distinct()
-    alone = met.join(shared.hint("shuffle_hash"), "s", "left_anti").select(F.col("s").alias("struct"), "interface")
-    return alone.union(product(met.join(shared.hint("shuffle_hash"), "s", "left_semi"), alike, "s", "interface", "struct").select("struct", "interface"))
-
-
-def implements_by_structure(g: Graph) -> DataFrame:
-    """IMPLEMENTS from structs to the interfaces of the graph that their methods satisfy."""
-    held = lambda kind, column: _nodes(g, kind).select(F.col("id").alias(column)).join(g.edges.where("edge_type IN ('HAS_METHOD', 'CONTAINS', 'DECLARES')").select(F.col("src").alias(column), "dst"), column).join(_nodes(g, "METHOD", "FUNCTION").select(F.col("id").alias("dst"), F.col("name").alias("method")), "dst")
-    return _edges(interface_satisfaction(held("STRUCT", "struct"), held("INTERFACE", "interface")).select(F.col("struct").alias("src"), F.col("interface").alias("dst")), "IMPLEMENTS", "structure", distinct=False)
-
-
-def behaviours(g: Graph) -> DataFrame:
-    """IMPLEMENTS from modules to the behaviour they declare, and from Protocol.Type modules to the protocol."""
-    modules = _nodes(g, "MODULE").select("id", "name", _meta("behaviour").alias("behaviour"))
-    index = _index(modules.select("id", "name"), "name")
-    declared = modules.select(F.col("id").alias("src"), F.col("behaviour").alias("name")).join(index, "name")
-    protocols = _nodes(g, "PROTOCOL", "MODULE").where((F.col("node_type") == "PROTOCOL") | (_meta("protocol") == "true"))
-    named = modules.where(F.col("name").contains(".")).select(F.col("id").alias("src"), F.regexp_replace("name", r"\.[^.]*$", "").alias("name")).join(_index(protocols.select("id", "name"), "name"), "name")
-    return _edges(declared.union(named.select(*declared.columns)).where("src != dst"), "IMPLEMENTS", "behaviours")
-
-
-def virtual_dispatch(g: Graph, depth: int = 20) -> DataFrame:
-    """OVERRIDES from a method to the method of its name in the nearest class above, and DISPATCHES_TO from calls of
-    a method to each override below it."""
-    of_class = g.edges.where("edge_type IN ('HAS_METHOD', 'CONTAINS', 'DECLARES')").select(F.col("src").alias("class"), F.col("dst").alias("method"))
-    methods = of_class.join(_nodes(g, "METHOD", "FUNCTION").select(F.col("id").alias("method"), "name"), "method")
-    classes = _nodes(g, "CLASS", "STRUCT", "INTERFACE").select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    above = reach(classes, steps(g.edges, "out", ("EXTENDS", "IMPLEMENTS")), depth).where("depth > 0")
-    higher = methods.select(F.col("class").alias("node"), F.col("method").alias("base"), "name")
-    met = settled(methods.select(F.col("class").alias("origin"), "method", "name").join(above, "origin").join(higher, ["node", "name"]).select("method", "base", "depth"), "met")
-    nearest = met.groupBy("method").agg(F.min(F.struct("depth", "base"))["base"].alias("dst")).select(F.col("method").alias("src"), "dst")
-    # A pair comes over two bases only where the call has several and the override has several: only these pairs are compared.
-    over = met.select("base", F.col("method").alias("dst")).distinct()
-    calls = g.edges.where("edge_type = 'CALLS'").select("src", F.col("dst").alias("base")).distinct().join(over.select("base").distinct(), "base", "left_semi")
-    many = lambda df, c: settled(df.join(df.groupBy(c).agg((F.count(F.lit(1)) > 1).alias("many")), c).select("base", F.struct(F.col(c).alias("id"), "many").alias(c)), "many")
-    calls, over = many(calls, "src"), many(over, "dst")
-    pair = [F.col("src.id").alias("src"), F.col("dst.id").alias("dst")]
-    sent = product(over, calls, "base", "dst", "src").where("NOT (src.many AND dst.many)").select(*pair)
-    twice = [x.where(f"{c}.many") for x, c in ((over, "dst"), (calls, "src"))]
-    if not any(x.isEmpty() for x in twice):
-        sent = sent.union(product(*twice, "base", "dst", "src").select(*pair).distinct())
-    return _edges(nearest, "OVERRIDES", "virtual", distinct=False).union(_edges(sent, "DISPATCHES_TO", "virtual", distinct=False))
-
-
-def context_propagation(g: Graph, context: str = "context.Context") -> DataFrame:
-    """PROPAGATES_, SPAWNS_WITH_ and DEFERS_WITH_CONTEXT along CALLS between functions that both take a context."""
-    takes = _nodes(g, "FUNCTION", "METHOD").where(F.coalesce(F.get_json_object("metadata", "$.params"), F.lit("")).contains(context) | (F.coalesce(_meta("acceptsContext"), F.lit("")) == "true")).select("id")
-    e = g.edges.where("edge_type = 'CALLS'")
-    mode = json_attribute(F.col("metadata"), "mode")
-    kind = F.when(mode == "go", "SPAWNS_WITH_CONTEXT").when(mode == "defer", "DEFERS_WITH_CONTEXT").otherwise("PROPAGATES_CONTEXT")
-    both = e.join(takes.withColumnRenamed("id", "src"), "src", "left_semi").join(takes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return both.select("src", "dst", kind.alias("edge_type"), F.lit('{"resolvedVia":"context"}').alias("metadata")).distinct()
-
-
-# --- services -------------------------------------------------------------------------------------------------------
-
-
-def _path_parts(url: Column) -> Column:
-    path = F.regexp_replace(F.regexp_replace(url, r"^https?://[^/]+", ""), r"[?#].*$", "")
-    return F.filter(F.split(path, "/"), lambda x: x != "")
-
-
-def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """(request, route): requests (id, method, url) and routes (id, method, path) of one method and number of path
-    parts whose parts are equal or a :param, {param} or ${...} on either side. Of several, exact paths first, then
-    fewest params, then the least id.
-
-    Both sides meet on the path with the free parts of either left out: a request asks once for each shape (which parts
-    are free) that the routes of its method and length have, and a route is listed once for each shape of the requests.
-    Of the routes with one such path only the best counts, so a request meets one route a shape.
-    """
-    free = lambda x: x.rlike(r"^(:.+|\{.+\}|\$\{.*\}|<.+>|\*)$")
-    mask = lambda parts: F.transform(parts, free)
-    left_out = lambda parts, m, o: F.array_join(F.transform(F.arrays_zip(parts.alias("p"), m.alias("m"), o.alias("o")), lambda x: F.when(x["m"] | x["o"], "").otherwise(x["p"])), "/")  # noqa: E731  no part is empty
     side = lambda df, name, text: df.select(F.col("id").alias(name), F.upper("method").alias("method"), _path_parts(F.col(text)).alias("parts")).withColumn("n", F.size("parts")).withColumn("own", mask(F.col("parts")))
     shapes = lambda df: df.select("method", "n", "own").distinct().groupBy("method", "n").agg(F.collect_list("own").alias("shapes"))
     r, t = side(requests, "request", "url"), settled(side(routes, "route", "path"), "routes")

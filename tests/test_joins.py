@@ -92,3 +92,10 @@ def test_overrides_are_dispatched_once(spark):
     )
     sent = [(a, b) for a, b, t in pairs(R.virtual_dispatch(g), "src", "dst", "edge_type") if t == "DISPATCHES_TO"]
     assert sent == sorted((c, f"K{i}.m") for c in ("c1", "c2") for i in range(1, 30))
+
+
+def test_operators_of_one_name(spark):
+    g = Graph.of(spark, [(f"e{i}", "OPERATOR_CALL", None, None, '{"operator":"+","left_type":"K%d"}' % (i % 3)) for i in range(30)] + [("m", "METHOD", "operator+", None, '{"className":"K1"}'), ("free", "FUNCTION", "operator+")], [])
+    found = R.operator_calls(g)
+    assert pairs(found, "src", "dst") == sorted((f"e{i}", "m" if i % 3 == 1 else "free") for i in range(30))
+    assert "SortMergeJoin" not in moved(found)
