@@ -85,16 +85,22 @@ def module_key(style: str, source: Column, file: Column, prefix: str = "") -> Co
     return source
 
 
+def _by_path(modules: DataFrame) -> DataFrame:
+    """(id, file, key): modules by path, with or without suffix or as index."""
+    shapes = [F.col("file"), *(F.when(F.col("file").endswith(s), F.expr(f"substr(file, 1, length(file) - {len(s)})")) for s in SOURCE_SUFFIXES)]
+    return modules.select("id", "file", F.explode(F.array_distinct(F.array(*shapes))).alias("key")).where("key IS NOT NULL")
+
+
 def import_edges(g: Graph, style: str = "path", prefix: str = "") -> DataFrame:
     """IMPORTS_FROM from imports to what they name. path: files with or without suffix or as index; dotted, crate and
     namespace: declarations by qualified name, else modules by path; go: any module of a package folder; name: modules
     by name."""
-    imports = _nodes(g, "IMPORT", "IMPORT_BINDING").select(F.col("id").alias("src"), "file", F.coalesce(_meta("source"), "name").alias("source"))
+    read_once = F.inline(F.array(F.struct(F.coalesce(_meta("source"), "name").alias("source"))))  # a filter on it does not parse the metadata again
+    imports = _nodes(g, "IMPORT", "IMPORT_BINDING").select(F.col("id").alias("src"), "file", read_once)
     modules = _nodes(g, "MODULE")
     if style == "path":
         keyed = imports.where(F.col("source").startswith(".")).select("src", module_key(style, F.col("source"), F.col("file")).alias("key"))
-        shapes = [F.col("file"), *(F.when(F.col("file").endswith(s), F.expr(f"substr(file, 1, length(file) - {len(s)})")) for s in SOURCE_SUFFIXES)]
-        index = modules.select("id", F.explode(F.array_distinct(F.array(*shapes))).alias("key")).where("key IS NOT NULL")
+        index = _by_path(modules).select("id", "key")
     elif style == "go":
         keyed = imports.select("src", module_key(style, F.col("source"), F.col("file"), prefix).alias("key"))
         index = modules.select("id", parent_dir(F.col("file")).alias("key"))
@@ -157,17 +163,18 @@ def same_file_calls(g: Graph) -> DataFrame:
 def cross_file_calls(g: Graph) -> DataFrame:
     """CALLS over relative imports: call -> import binding of its name (or of its object, for namespace imports) ->
     the export of that name in the file that the import names; 'default' meets default exports."""
-    bindings = _nodes(g, "IMPORT_BINDING").select("id", "file", "name", _meta("source").alias("source"), F.coalesce(_meta("importedName"), "name").alias("imported")).where(F.col("source").startswith("."))
-    where = import_edges(g).select(F.col("src").alias("id"), F.col("dst").alias("module")).join(_nodes(g, "MODULE").select(F.col("id").alias("module"), F.col("file").alias("target")), "module")
-    bound = bindings.join(where, "id").select("file", F.col("name").alias("local"), "imported", "target")
+    read_once = F.inline(F.array(F.struct(_meta("source").alias("source"), F.coalesce(_meta("importedName"), "name").alias("imported"))))
+    bindings = _nodes(g, "IMPORT_BINDING").select("file", F.col("name").alias("local"), read_once).where(F.col("source").startswith("."))
+    keyed = bindings.select("file", "local", "imported", (F.col("imported") == "*").alias("spaced"), module_key("path", F.col("source"), F.col("file")).alias("key"))
+    targets = _by_path(_nodes(g, "MODULE")).groupBy("key").agg(F.min(F.struct("id", "file"))["file"].alias("target"))
+    bound = meet(keyed, targets, "key").select("file", "local", "imported", "spaced", "target")
     exported = _nodes(g, "EXPORT", "EXPORT_BINDING").select("id", "file", F.coalesce(_meta("exportedName"), "name").alias("wanted"))
     flagged = g.nodes.where("exported").where(F.col("node_type").isin("FUNCTION", "CLASS", "VARIABLE", "CONSTANT")).select("id", "file", F.col("name").alias("wanted"))
     exports = _index(exported.union(flagged).withColumnRenamed("file", "target"), "target", "wanted")
     c = _called(g)
-    direct = c.where("object IS NULL").join(bound.where("imported != '*'").withColumnRenamed("local", "callee"), ["file", "callee"]).withColumn("wanted", F.col("imported"))
-    spaced = c.where("object IS NOT NULL").join(bound.where("imported = '*'").withColumnRenamed("local", "object"), ["file", "object"]).withColumn("wanted", F.col("member"))
-    columns = ["src", "target", "wanted"]
-    return _edges(direct.select(*columns).union(spaced.select(*columns)).join(exports, ["target", "wanted"]), "CALLS", "cross-file-calls")
+    named = c.select("src", "file", F.coalesce("object", "callee").alias("local"), F.col("object").isNotNull().alias("spaced"), "member").join(bound, ["file", "local", "spaced"])
+    wanted = named.select("src", "target", F.when(F.col("spaced"), F.col("member")).otherwise(F.col("imported")).alias("wanted"))
+    return _edges(meet(wanted, exports, "target", "wanted"), "CALLS", "cross-file-calls")
 
 
 def local_references(g: Graph, known_globals: Iterable[str] = (), types: tuple[str, ...] = ("VARIABLE", "CONSTANT", "FUNCTION", "CLASS", "PARAMETER")) -> DataFrame:

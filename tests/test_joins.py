@@ -99,3 +99,12 @@ def test_operators_of_one_name(spark):
     found = R.operator_calls(g)
     assert pairs(found, "src", "dst") == sorted((f"e{i}", "m" if i % 3 == 1 else "free") for i in range(30))
     assert "SortMergeJoin" not in moved(found)
+
+
+def test_cross_file_calls_take_bindings_along(spark):
+    """Bindings meet modules by path and calls by name, without a join back on the binding's id."""
+    nodes = [("a", "IMPORT_BINDING", "f", "x/a.js", '{"source":"./m","importedName":"g"}'), ("s", "IMPORT_BINDING", "ns", "x/a.js", '{"source":"./m.ts","importedName":"*"}'), ("p", "IMPORT_BINDING", "pkg", "x/a.js", '{"source":"pkg"}')]
+    nodes += [("m", "MODULE", "m", "x/m.ts"), ("g", "FUNCTION", "g", "x/m.ts", None, True), ("c1", "CALL", "f", "x/a.js"), ("c2", "CALL", "ns.g", "x/a.js"), ("c3", "CALL", "ns", "x/a.js"), ("c4", "CALL", "f.g", "x/a.js"), ("c5", "CALL", "pkg", "x/a.js")]
+    found = R.cross_file_calls(Graph.of(spark, nodes, []))
+    assert pairs(found, "src", "dst") == [("c1", "g"), ("c2", "g")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") <= 3
