@@ -57,7 +57,7 @@ def test_division_of_equal_sets_is_done_once(spark):
     assert found.count() == 90_000
     store, arr = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
     stages = store.stageList(None, False, False, arr, spark._jvm.java.util.ArrayList())
-    assert max(stages.apply(i).shuffleWriteRecords() for i in range(min(40, stages.size()))) < 20_000  # 630,000 when each pair was
+    assert max(stages.apply(i).shuffleWriteRecords() for i in range(min(40, stages.size()))) < 20_000
 
 
 def test_routes_and_templates(spark):
